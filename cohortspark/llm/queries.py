@@ -70,7 +70,7 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.root) AS
 
 VECTORS_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-ok AS (SELECT * FROM v WHERE e IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
 r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node),
 c AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1), k AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
