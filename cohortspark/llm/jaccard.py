@@ -16,12 +16,7 @@ from cohortspark.llm import textops as T
 #: Assumed chance that one shingle of a random other text falls together; only steers costs, never results.
 SHARE = 0.25
 RESEEDS = 8
-_KEYS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
-
-
-def _gap(total: int, num: int, den: int) -> int:
-    """Largest symmetric difference of two sets whose sizes add up to ``total`` with Jaccard >= num/den."""
-    return total * (den - num) // (den + num)
+_KEYS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def allocate(high: int, members: float, num: int, den: int) -> tuple[int, int]:
@@ -30,7 +25,7 @@ def allocate(high: int, members: float, num: int, den: int) -> tuple[int, int]:
     A mismatch in a plain segment takes one difference, in a one-deletion segment two. The cheapest split by
     emitted rows plus expected chance meetings in a band of ``members`` sets is taken.
     """
-    need = _gap(2 * high, num, den) + 1
+    need = pairjoin.gap(2 * high, num, den) + 1
     best = (float("inf"), need, 0)
     for ones in range(0, min(need // 2, 64) + 1):
         used = need - ones
@@ -58,7 +53,7 @@ def _keys(elements: np.ndarray, members: tuple, num: int, den: int) -> np.ndarra
         partner = min(high, n * den // num)
         if band > own and partner < 2**band:
             continue
-        need = _gap(n + partner, num, den) + 1
+        need = pairjoin.gap(n + partner, num, den) + 1
         for seed in range(RESEEDS + 1):
             e = T.mix(elements ^ T.seeds(1, 977 * seed + 13)[0])
             seg = (e >> T.U(33)).astype(np.int64) % segments
@@ -82,7 +77,7 @@ def _keys(elements: np.ndarray, members: tuple, num: int, den: int) -> np.ndarra
 
 
 def _index(k: int, num: int, den: int, members: tuple):
-    """A task: text rows to (doc_id, set size, set hash, keys); keys once per set and task, copies carry none."""
+    """A task: text rows to (doc_id, set size, set hash, keys, sketch); keys once per set and task, copies carry none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -93,16 +88,18 @@ def _index(k: int, num: int, den: int, members: tuple):
                 h, first = T.distinct(*T.shingles(T.words(raw, off), k), n)
                 count = np.diff(first)
                 node = T.mix(T.sums(T.mix(h), first) + count.astype(T.U)).view(np.int64)
-                keys = []
+                keys, marks = [], []
                 for i in range(n):
                     if not count[i] or int(node[i]) in seen:
                         keys.append(None)
+                        marks.append(None)
                         continue
                     if len(seen) >= 500_000:
                         seen.clear()
                     seen.add(int(node[i]))
                     keys.append(_keys(h[first[i] : first[i + 1]], members, num, den).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(count, pa.int64()), pa.array(node), pa.array(keys, pa.list_(pa.int64()))], schema=_KEYS)
+                    marks.append(pairjoin.sketch(h[first[i] : first[i + 1]], num, den))
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(count, pa.int64()), pa.array(node), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], schema=_KEYS)
 
     return run
 
@@ -119,8 +116,8 @@ def _verify(k: int, num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                batch = big.slice(at, 500)
+            for at in range(0, big.num_rows, 100):
+                batch = big.slice(at, 100)
                 one, center = sets(batch.column("text_a")), batch.column("b").to_numpy()
                 fresh = np.flatnonzero(np.concatenate([[True], center[1:] != center[:-1]])) if len(center) else []
                 two = sets(batch.column("text_b").take(pa.array(fresh)))
@@ -150,11 +147,14 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sizes = docs.select((F.octet_length("text") / 6).cast("long").alias("n")).where("n > 0").groupBy(F.floor(F.log2("n")).cast("int").alias("band")).count()
     members = tuple(sorted((r["band"], float(r["count"])) for r in sizes.collect()))  # at most 32 rows
-    table = scratch.written(docs.mapInArrow(_index(k, num, den, members), "doc_id long, n_shingles long, node long, keys array<long>"), "sets", owner)
+    table = scratch.written(docs.mapInArrow(_index(k, num, den, members), "doc_id long, n_shingles long, node long, keys array<long>, sketch binary"), "sets", owner)
 
     shared = pairjoin.shared_keys(table.where("keys is not null").select("node", F.explode("keys").alias("key")), owner)
-    texts = scratch.written(_texts(docs, table, shared.select("node").distinct(), k), "texts", owner)
-    roots = pairjoin.classes(shared, lambda pairs: _check(pairs, texts, k, num, den), owner)
+    nodes = shared.select("node").distinct()
+    marks = table.where("keys is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    marks = scratch.written(marks, "marks", owner)
+    texts = scratch.written(_texts(docs, table, nodes, k), "texts", owner)
+    roots = pairjoin.classes(shared, marks, lambda pairs: _check(pairs, texts, k, num, den), num, den, owner)
 
     rows = table.select("doc_id", "n_shingles", "node")
     placed = rows.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))

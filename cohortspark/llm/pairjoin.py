@@ -2,12 +2,97 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.llm import graph, scratch
+from cohortspark.llm import blocks, graph, scratch
+from cohortspark.llm import textops as T
+
+#: Bits of a sketch for each difference that two sets within the threshold may have.
+BITS = 16
+CHUNK = 1000
+
+
+def gap(total, num: int, den: int):
+    """Largest symmetric difference of two sets whose sizes add up to ``total`` with Jaccard >= num/den."""
+    return total * (den - num) // (den + num)
+
+
+def sketch(elements: np.ndarray, num: int, den: int) -> bytes:
+    """Parities of the elements in hashed cells.
+
+    The sketches of two sets differ in at most as many cells as the sets in elements, whatever falls together.
+    """
+    bits = 1 << max(6, int(BITS * max(1, gap(2 * len(elements), num, den)) - 1).bit_length())
+    cell = (T.mix(elements ^ T.U(0x5BD1E995)) & T.U(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _words(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to ``size`` words."""
+    out = np.empty((len(sketches), size), np.uint64)
+    for i, s in enumerate(sketches):
+        w = np.frombuffer(s, np.uint64)
+        while len(w) > size:
+            w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+        out[i] = w
+    return out
+
+
+def may_link(a: list[bytes], na: np.ndarray, b: list[bytes], nb: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs a[i], b[i] the sketches and sizes do not rule out."""
+    keep = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
+    for i in np.flatnonzero(keep):
+        size = min(len(a[i]), len(b[i])) // 8
+        x = _words([a[i], b[i]], size)
+        keep[i] = np.bitwise_count(x[0] ^ x[1]).sum() <= gap(int(na[i] + nb[i]), num, den)
+    return keep
+
+
+def _pruned(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = may_link(batch.column("sa").to_pylist(), batch.column("na").to_numpy(), batch.column("sb").to_pylist(), batch.column("nb").to_numpy(), num, den)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _across(num: int, den: int):
+    """A task over blocks of nodes that share a key: pairs of different components that nothing rules out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, keys, cut in blocks.runs(batches, ["key", "lo", "hi"]):
+            node, root, n, chunk = (t.column(c).to_numpy() for c in ("node", "root", "n", "c"))
+            marks = t.column("sketch").to_pylist()
+            for i, j in zip(cut[:-1], cut[1:]):
+                lo, hi = keys[1, i], keys[2, i]
+                length = np.array([len(m) // 8 for m in marks[i:j]])
+                ids, r, size, own = node[i:j], root[i:j], n[i:j], chunk[i:j]
+                for small in np.unique(length):
+                    # sets within the threshold have sketches of one length or of the next
+                    at = np.flatnonzero((length == small) | (length == 2 * small))
+                    x = _words([marks[i + k] for k in at], int(small))
+                    for s in range(0, len(at), 128):
+                        row = at[s : s + 128]
+                        differ = np.zeros((len(row), len(at)), np.int64)
+                        for w in range(int(small)):
+                            differ += np.bitwise_count(x[s : s + 128, w][:, None] ^ x[:, w][None, :])
+                        ok = differ <= gap(size[row][:, None] + size[at][None, :], num, den)
+                        ok &= (length[row] == small)[:, None] & (r[row][:, None] != r[at][None, :])
+                        ok &= np.minimum(size[row][:, None], size[at][None, :]) * den >= np.maximum(size[row][:, None], size[at][None, :]) * num
+                        if lo != hi:
+                            ok &= own[row][:, None] != own[at][None, :]
+                        p, q = np.nonzero(ok)
+                        if len(p):
+                            u, v = ids[row[p]], ids[at[q]]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["a", "b"])
+
+    return run
 
 
 def shared_keys(keys: DataFrame, owner: str = "") -> DataFrame:
@@ -16,15 +101,18 @@ def shared_keys(keys: DataFrame, owner: str = "") -> DataFrame:
     return scratch.written(ends.where("center <> far").select("key", "node", "center"), "shared", owner)
 
 
-def classes(shared: DataFrame, check: Callable[[DataFrame], DataFrame], owner: str = "") -> DataFrame:
-    """(node, root) of all nodes that links join; ``check`` keeps the pairs (a, b) that are links.
+def classes(shared: DataFrame, marks: DataFrame, check: Callable[[DataFrame], DataFrame], num: int, den: int, owner: str = "") -> DataFrame:
+    """(node, root) of all nodes that links join: pairs of a common key with Jaccard >= num/den.
 
-    First every node of a key is checked against the key's center. Where that leaves the nodes of a key in several
-    components, all pairs across components (not within) are checked as well. Afterwards any two nodes of a key are
-    checked, or in one component: the components are those of all links between nodes that share a key.
+    ``marks`` has (node, n, sketch); ``check`` keeps the pairs (a, b) that are links. First every node of a key is
+    checked against the key's center. Where that leaves the nodes of a key in several components, blocks of them are
+    compared across components by sketch, and the pairs that no sketch rules out are checked too. Sketches rule out
+    no link, so any two linked nodes of a key end in one component.
     """
     pairs = shared.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    tested = scratch.written(pairs, "pairs", owner)
+    both = pairs.join(marks.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    both = both.join(marks.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    tested = scratch.written(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_pruned(num, den), "a long, b long"), "pairs", owner)
     links = scratch.written(check(tested), "links", owner)
     roots = scratch.written(graph.components(links, owner=owner), "roots", owner)
 
@@ -32,8 +120,8 @@ def classes(shared: DataFrame, check: Callable[[DataFrame], DataFrame], owner: s
     named = shared.select("key", "node").distinct().join(r, F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = named.withColumn("low", F.expr("min(root) over (partition by key)")).withColumn("high", F.expr("max(root) over (partition by key)"))
     mixed = scratch.written(mixed.where("low <> high").select("key", "node", "root"), "mixed", owner)
-    x, y = mixed.alias("x"), mixed.alias("y")
-    more = x.join(y, F.expr("x.key = y.key and x.node > y.node and x.root <> y.root")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    spread = blocks.dealt(mixed.join(marks, "node"), ["key"], "node", CHUNK)
+    more = spread.select("key", "lo", "hi", "c", "node", "root", "n", "sketch").mapInArrow(_across(num, den), "a long, b long").distinct()
     more = scratch.written(more.join(tested, ["a", "b"], "left_anti"), "more", owner)
     again = scratch.written(check(more), "links", owner)
     if again.limit(1).count():

@@ -17,7 +17,7 @@ SHINGLE = 5
 MIN_WORDS = 20
 #: 14 bands of 4: paragraphs of Jaccard 0.8 share none with a probability of (1 - 0.8^4)^14 = 0.0006.
 BANDS, ROWS = 14, 4
-_UNIT = pa.struct([("para", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_UNIT = pa.struct([("para", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("n", pa.int64()), ("sketch", pa.binary())])
 
 
 def paragraphs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +43,7 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return T.mix(key ^ T.seeds(bands, 99)[None, :])
 
 
-def _index(min_words: int, bands: int, rows: int):
+def _index(min_words: int, bands: int, rows: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -60,18 +60,19 @@ def _index(min_words: int, bands: int, rows: int):
                     fresh = np.array([(x := int(v)) not in seen and not seen.add(x) for v in node])
                     if len(seen) > 1_000_000:
                         seen.clear()
-                    keys = [None] * len(use)
+                    keys, marks, sizes = [None] * len(use), [None] * len(use), [None] * len(use)
                     new = np.flatnonzero(fresh)
                     if len(new):
                         cut = np.searchsorted(owner, np.stack([use[new], use[new] + 1], axis=1))
                         part = np.concatenate([h[i:j] for i, j in cut])
                         first = np.concatenate([[0], np.cumsum(cut[:, 1] - cut[:, 0])])
-                        for i, k in zip(new, band_keys(minhash(part, first, bands * rows), rows).view(np.int64)):
-                            keys[i] = np.unique(k)
+                        for i, k, a, b in zip(new, band_keys(minhash(part, first, bands * rows), rows).view(np.int64), first[:-1], first[1:]):
+                            elements = np.unique(part[a:b])
+                            keys[i], marks[i], sizes[i] = np.unique(k), pairjoin.sketch(elements, num, den), len(elements)
                     base = np.searchsorted(text, np.arange(n))
                     for i, p in enumerate(use):
                         t = text[p]
-                        units[t].append({"para": int(p - base[t]), "start": int(at[p] - off[t]), "stop": int(at[p + 1] - off[t]), "node": int(node[i]), "keys": keys[i]})
+                        units[t].append({"para": int(p - base[t]), "start": int(at[p] - off[t]), "stop": int(at[p + 1] - off[t]), "node": int(node[i]), "keys": keys[i], "n": sizes[i], "sketch": marks[i]})
                 total = np.bincount(text[many > 0], minlength=n) if len(text) else np.zeros(n, int)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), batch.column("text_hash").slice(row, n), pa.array(total, pa.int64()), pa.array(units, pa.list_(_UNIT))], names=["doc_id", "text_hash", "n_paragraphs", "units"])
 
@@ -100,7 +101,7 @@ def _passages(min_words: int):
     return run
 
 
-def _verify(threshold: float):
+def _verify(num: int, den: int):
     def sets(column: pa.Array) -> list[np.ndarray]:
         out = []
         for _, raw, off in T.pieces(column):
@@ -115,13 +116,13 @@ def _verify(threshold: float):
                 keep = []
                 for x, y in zip(sets(batch.column("text_a")), sets(batch.column("text_b"))):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both >= threshold * (len(x) + len(y) - both))
+                    keep.append(den * both >= num * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def repeated(docs: DataFrame, threshold: float = 0.8, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS, owner: str = "") -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, num: int = 4, den: int = 5, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS, owner: str = "") -> tuple[DataFrame, DataFrame]:
     """(index, passages) of ``docs`` (doc_id, text): every paragraph of a class with several occurrences.
 
     Passages are (doc_id, text_hash, para, start, stop, class_id, n_occurrences, removed); start and stop are byte
@@ -130,8 +131,8 @@ def repeated(docs: DataFrame, threshold: float = 0.8, min_words: int = MIN_WORDS
     components. Of each class the occurrence with the smallest (doc_id, para) stays, nulls last.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    unit = "array<struct<para:int,start:int,stop:int,node:bigint,keys:array<bigint>>>"
-    index = scratch.written(docs.mapInArrow(_index(min_words, bands, rows), f"doc_id long, text_hash long, n_paragraphs long, units {unit}"), "paragraphs", owner)
+    unit = "array<struct<para:int,start:int,stop:int,node:bigint,keys:array<bigint>,n:bigint,sketch:binary>>"
+    index = scratch.written(docs.mapInArrow(_index(min_words, bands, rows, num, den), f"doc_id long, text_hash long, n_paragraphs long, units {unit}"), "paragraphs", owner)
     units = index.select("doc_id", "text_hash", F.inline("units"))
 
     shared = pairjoin.shared_keys(units.where("keys is not null").select("node", F.explode("keys").alias("key")), owner)
@@ -143,9 +144,10 @@ def repeated(docs: DataFrame, threshold: float = 0.8, min_words: int = MIN_WORDS
     def check(pairs: DataFrame) -> DataFrame:
         one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.select("a", "text_a", "b", "text_b").mapInArrow(_verify(threshold), "a long, b long")
+        return both.select("a", "text_a", "b", "text_b").mapInArrow(_verify(num, den), "a long, b long")
 
-    roots = pairjoin.classes(shared, check, owner)
+    marks = units.where("keys is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    roots = pairjoin.classes(shared, scratch.written(marks, "marks", owner), check, num, den, owner)
     placed = units.select("doc_id", "text_hash", "para", "start", "stop", "node").join(roots, "node", "left").withColumn("class_id", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "para", "text_hash")
     sizes = placed.groupBy("class_id").agg(F.count("*").alias("n_occurrences"), F.min(order).alias("keep")).where("n_occurrences > 1")
