@@ -14,7 +14,7 @@ from cohortspark.llm import pairjoin, scratch
 from cohortspark.llm import textops as T
 
 #: Assumed chance that one shingle of a random other text falls together; only steers costs, never results.
-SHARE = 0.25
+SHARE = 0.05
 RESEEDS = 8
 _KEYS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
