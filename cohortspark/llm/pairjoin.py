@@ -62,8 +62,11 @@ def _pruned(num: int, den: int):
     return run
 
 
-def _across(num: int, den: int):
-    """A task over blocks of nodes that share a key: pairs of different components that nothing rules out."""
+def _across(num: int, den: int, nearest: bool):
+    """A task over blocks of nodes that share a key: pairs of different components that nothing rules out.
+
+    With ``nearest`` only the pair of each node whose sketches differ least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, keys, cut in blocks.runs(batches, ["key", "lo", "hi"]):
@@ -87,7 +90,11 @@ def _across(num: int, den: int):
                         ok &= np.minimum(size[row][:, None], size[at][None, :]) * den >= np.maximum(size[row][:, None], size[at][None, :]) * num
                         if lo != hi:
                             ok &= own[row][:, None] != own[at][None, :]
-                        p, q = np.nonzero(ok)
+                        if nearest:
+                            p = np.flatnonzero(ok.any(axis=1))
+                            q = np.where(ok, differ, 1 << 40)[p].argmin(axis=1)
+                        else:
+                            p, q = np.nonzero(ok)
                         if len(p):
                             u, v = ids[row[p]], ids[at[q]]
                             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["a", "b"])
@@ -106,8 +113,9 @@ def classes(shared: DataFrame, marks: DataFrame, check: Callable[[DataFrame], Da
 
     ``marks`` has (node, n, sketch); ``check`` keeps the pairs (a, b) that are links. First every node of a key is
     checked against the key's center. Where that leaves the nodes of a key in several components, blocks of them are
-    compared across components by sketch, and the pairs that no sketch rules out are checked too. Sketches rule out
-    no link, so any two linked nodes of a key end in one component.
+    compared across components by sketch: first each node's nearest pair is checked, which joins what a large group
+    of near copies was split into; then all pairs across the components still left that no sketch rules out. Sketches
+    rule out no link, so any two linked nodes of a key end in one component.
     """
     pairs = shared.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
     both = pairs.join(marks.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
@@ -116,14 +124,16 @@ def classes(shared: DataFrame, marks: DataFrame, check: Callable[[DataFrame], Da
     links = scratch.written(check(tested), "links", owner)
     roots = scratch.written(graph.components(links, owner=owner), "roots", owner)
 
-    r = roots.withColumnRenamed("node", "member")
-    named = shared.select("key", "node").distinct().join(r, F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = named.withColumn("low", F.expr("min(root) over (partition by key)")).withColumn("high", F.expr("max(root) over (partition by key)"))
-    mixed = scratch.written(mixed.where("low <> high").select("key", "node", "root"), "mixed", owner)
-    spread = blocks.dealt(mixed.join(marks, "node"), ["key"], "node", CHUNK)
-    more = spread.select("key", "lo", "hi", "c", "node", "root", "n", "sketch").mapInArrow(_across(num, den), "a long, b long").distinct()
-    more = scratch.written(more.join(tested, ["a", "b"], "left_anti"), "more", owner)
-    again = scratch.written(check(more), "links", owner)
-    if again.limit(1).count():
-        roots = scratch.written(graph.components(links.union(again), owner=owner), "roots", owner)
+    for nearest in (True, False):
+        r = roots.withColumnRenamed("node", "member")
+        named = shared.select("key", "node").distinct().join(r, F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = named.withColumn("low", F.expr("min(root) over (partition by key)")).withColumn("high", F.expr("max(root) over (partition by key)"))
+        mixed = scratch.written(mixed.where("low <> high").select("key", "node", "root"), "mixed", owner)
+        spread = blocks.dealt(mixed.join(marks, "node"), ["key"], "node", CHUNK)
+        more = spread.select("key", "lo", "hi", "c", "node", "root", "n", "sketch").mapInArrow(_across(num, den, nearest), "a long, b long").distinct()
+        more = scratch.written(more.join(tested, ["a", "b"], "left_anti"), "more", owner)
+        again = scratch.written(check(more), "links", owner)
+        tested, links = tested.union(more), links.union(again)
+        if again.limit(1).count():
+            roots = scratch.written(graph.components(links, owner=owner), "roots", owner)
     return roots
