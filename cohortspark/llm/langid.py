@@ -132,7 +132,8 @@ def fit(rows: list[tuple], epochs: int = 20, seed: int = 3) -> tuple[crf.Model,
     model = crf.fit(labels, SIZE, cells[order], at, item[use], seqs, gold[use], epochs, rate=0.2)
     model.weights = model.weights.astype(np.float32)
     which = np.array([labels.index(r[2]) for r in rows])
-    return model, lexicon, weigh(evidence([r[1] for r in rows], model, lexicon), which)
+    shares = np.concatenate([evidence([r[1] for r in rows[i : i + 50]], model, lexicon) for i in range(0, len(rows), 50)])
+    return model, lexicon, weigh(shares, which)
 
 
 def evidence(texts: list[str | None], model: crf.Model, lexicon: np.ndarray) -> np.ndarray:

@@ -156,10 +156,11 @@ def fit(rows: list[tuple], counts: dict[int, int] | None = None, rounds: int = 2
     """
     if not rows:
         return None
-    column = _joined([r[1] for r in rows])
     y = np.array([int(r[2]) for r in rows])
-    own, length, seq = traits(*column)
-    cell = features(own, seq)
+    parts = [traits(raw, off) for i in range(0, len(rows), 100) for raw, off in [_joined([r[1] for r in rows[i : i + 100]])]]
+    length = np.concatenate([p[1] for p in parts])
+    seq = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
+    cell = np.concatenate([features(p[0], p[2]) for p in parts])
     distinct, item = np.unique(cell, axis=0, return_inverse=True)
     item = item.ravel()
     at = np.arange(len(distinct) + 1) * cell.shape[1]

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 2_000_000
+PIECE = 1_000_000
 U = np.uint64
 _BASE, _INV = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
@@ -43,7 +43,7 @@ def seeds(n: int, salt: int) -> np.ndarray:
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for i, b in enumerate((_BASE, _INV)):
-            steps = np.full(max(n, PIECE * 2), b, U)
+            steps = np.full(max(n, 2 * len(_powers[i]), 1 << 16), b, U)
             steps[0] = 1
             _powers[i] = np.multiply.accumulate(steps)
     return _powers[0], _powers[1]
