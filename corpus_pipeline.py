@@ -18,6 +18,8 @@ from cohortspark.llm.quality import keep_good
 
 OWNER = "pipeline"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies: shingles of five words with Jaccard of at least 4/5; op6_jaccard has its own values.
+WORDS, NUM, DEN = 5, 4, 5
 #: The mixture of the pipeline: nine tenths of all tokens, at most two epochs of a source.
 SHARE, EPOCHS = 0.9, 2
 
@@ -34,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words, or without an id, are in no class that they could leave, and stay.
     """
     scratch.clear(spark, OWNER)
-    rows = scratch.written(jaccard_classes(docs, owner=OWNER), "classes", OWNER)
+    rows = scratch.written(jaccard_classes(docs, k=WORDS, num=NUM, den=DEN, owner=OWNER), "classes", OWNER)
     gone = rows.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(scratch.small(gone), "doc_id", "left_anti")
     twice = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
