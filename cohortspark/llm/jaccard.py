@@ -16,7 +16,7 @@ from cohortspark.llm import textops as T
 #: Assumed chance that one shingle of a random other text falls together; only steers costs, never results.
 SHARE = 0.05
 RESEEDS = 8
-_KEYS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_KEYS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def allocate(high: int, members: float, num: int, den: int) -> tuple[int, int]:
@@ -77,12 +77,12 @@ def _keys(elements: np.ndarray, members: tuple, num: int, den: int) -> np.ndarra
 
 
 def _index(k: int, num: int, den: int, members: tuple):
-    """A task: text rows to (doc_id, set size, set hash, keys, sketch); keys once per set and task, copies carry none."""
+    """A task: text rows to (doc_id, text hash, set size, set hash, keys, sketch); keys once per set and task, copies carry none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, hashes = batch.column("doc_id"), batch.column("text_hash")
             for at, raw, off in T.pieces(batch.column("text")):
                 n = len(off) - 1
                 h, first = T.distinct(*T.shingles(T.words(raw, off), k), n)
@@ -99,7 +99,7 @@ def _index(k: int, num: int, den: int, members: tuple):
                     seen.add(int(node[i]))
                     keys.append(_keys(h[first[i] : first[i + 1]], members, num, den).view(np.int64))
                     marks.append(pairjoin.sketch(h[first[i] : first[i + 1]], num, den))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(count, pa.int64()), pa.array(node), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], schema=_KEYS)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), hashes.slice(at, n), pa.array(count, pa.int64()), pa.array(node), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], schema=_KEYS)
 
     return run
 
@@ -144,10 +144,21 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
     lost and no group is expanded into pairs. Duplicate ids take part row by row; rows with a null id link others
     and get the smallest id of their component, null if it has none. Extra columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    placed = jaccard_members(docs, k, num, den, id_col, text_col, owner)
+    least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    full = placed.where("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", "component_id")
+    return full.union(placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def jaccard_members(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", owner: str = "") -> DataFrame:
+    """(doc_id, text_hash, n_shingles, root) of every row: ``root`` is one in each class of ``jaccard_classes``.
+
+    Rows of one text are in one class, so id and text hash (xxhash64) name a row where ids repeat with other texts.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sizes = docs.select((F.octet_length("text") / 6).cast("long").alias("n")).where("n > 0").groupBy(F.floor(F.log2("n")).cast("int").alias("band")).count()
     members = tuple(sorted((r["band"], float(r["count"])) for r in sizes.collect()))  # at most 32 rows
-    table = scratch.written(docs.mapInArrow(_index(k, num, den, members), "doc_id long, n_shingles long, node long, keys array<long>, sketch binary"), "sets", owner)
+    table = scratch.written(docs.mapInArrow(_index(k, num, den, members), "doc_id long, text_hash long, n_shingles long, node long, keys array<long>, sketch binary"), "sets", owner)
 
     shared = pairjoin.shared_keys(table.where("keys is not null").select("node", F.explode("keys").alias("key")), owner)
     nodes = shared.select("node").distinct()
@@ -156,11 +167,8 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
     texts = scratch.written(_texts(docs, table, nodes, k), "texts", owner)
     roots = pairjoin.classes(shared, marks, lambda pairs: _check(pairs, texts, k, num, den), num, den, owner)
 
-    rows = table.select("doc_id", "n_shingles", "node")
-    placed = rows.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    full = placed.where("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", "component_id")
-    return full.union(placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    rows = table.select("doc_id", "text_hash", "n_shingles", "node")
+    return rows.join(roots, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("root"))
 
 
 def _texts(docs: DataFrame, table: DataFrame, nodes: DataFrame, k: int) -> DataFrame:

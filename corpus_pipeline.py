@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import decontaminate, mixing_query, scratch, shards
-from cohortspark.llm.jaccard import jaccard_classes
+from cohortspark.llm.jaccard import jaccard_members
 from cohortspark.llm.mixing import mix
 from cohortspark.llm.quality import keep_good
 
@@ -31,19 +31,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of the n-gram Jaccard join, once if its row is repeated.
+    """One document of each class of the n-gram Jaccard join: that with the smallest id, of those the smallest text hash.
 
-    Documents without words, or without an id, are in no class that they could leave, and stay.
+    A row is named by its id and text hash, so other texts under the id of a dropped row stay. Of repeated rows one
+    stays. Documents without words are in no class and stay; null ids come last in their class.
     """
     scratch.clear(spark, OWNER)
-    rows = scratch.written(jaccard_classes(docs, k=WORDS, num=NUM, den=DEN, owner=OWNER), "classes", OWNER)
-    gone = rows.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(scratch.small(gone), "doc_id", "left_anti")
-    twice = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    rows = scratch.written(jaccard_members(docs, k=WORDS, num=NUM, den=DEN, owner=OWNER), "classes", OWNER)
+    full = rows.where("n_shingles > 0")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    least = full.groupBy("root").agg(F.min(own).alias("least"))
+    gone = full.join(least, "root").where(~own.eqNullSafe(F.col("least"))).select("doc_id", "text_hash").distinct()
+    gone = scratch.written(gone, "gone", OWNER)
+    twice = rows.where("doc_id is not null or n_shingles > 0").groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash")
+    named = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    kept = _rows(named, scratch.small(gone), "left_anti")
     if not twice.limit(1).count():
-        return kept
-    several = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(several)
+        return kept.select(*COLUMNS)
+    several = _rows(kept, twice, "left_semi").dropDuplicates(["doc_id", "text"])
+    return _rows(kept, twice, "left_anti").unionByName(several).select(*COLUMNS)
+
+
+def _rows(named: DataFrame, of: DataFrame, how: str) -> DataFrame:
+    of = of.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"))
+    return named.join(of, F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), how)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,13 @@ def test_near_copies_by_five_words(spark):
     assert sorted(kept) == sorted(set(root.values()))
     narrow = {r.doc_id for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id == r.component_id}
     assert narrow - set(kept)
+
+
+def test_rows_of_one_id_leave_by_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    near = b.replace("b0 ", "x ", 1)
+    rows = [(5, a), (5, b), (3, b), (3, b), (7, c), (7, near), (None, c), (None, a + " y"), (None, None), (9, ""), (9, None)]
+    assert stage(spark, rows) == sorted([(5, a), (3, b), (7, c), (None, None), (9, ""), (9, None)], key=str)
+    alone = [(None, a), (None, a), (8, b), (8, b.replace("b0 ", "x ", 1))]
+    kept = stage(spark, alone)
+    assert len(kept) == 2 and (None, a) in kept and {i for i, _ in kept} == {8, None}
