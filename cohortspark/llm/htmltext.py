@@ -20,6 +20,8 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadc
 ROLES = frozenset("banner navigation complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 CONTENT = frozenset(["article", "main"])
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+# Elements that can be the region of an article, if they hold blocks of their own.
+CONTAINERS = frozenset("article body center div html main section td".split())
 # What an open element of the key is closed by when it meets such a start tag.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SPACE = re.compile(r"\s+")
@@ -34,6 +36,7 @@ class _Blocks(HTMLParser):
         self.stack: list[tuple[str, int, bool]] = []  # element, its number, whether text in it is left out
         self.parent: list[int] = [-1]
         self.kind: list[str] = ["#root"]
+        self.holds: set[int] = {0}  # elements with blocks of their own
         self.blocks: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.links = self.out = 0
@@ -89,6 +92,8 @@ class _Blocks(HTMLParser):
         if tag in BLOCKS:
             self._cut()
             self._implied(tag)
+            if tag not in VOID and self.stack:
+                self.holds.add(self.stack[-1][1])
         self.tags += 1
         if tag not in VOID:
             out = self._marked(tag, attrs)
@@ -115,6 +120,12 @@ class _Blocks(HTMLParser):
                     self.parts = []
                 return self._pop(i)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A CDATA section ends with its own mark, any other at the next ">", as in browsers; none stops the parser."""
+        if self.rawdata[i : i + 9].upper() == "<![CDATA[" and "]]>" in self.rawdata[i:]:
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i, 0)
+
     def handle_data(self, data: str) -> None:
         if self.out:
             return
@@ -130,23 +141,20 @@ def _smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def extract(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
+def extract(html: str | None, sigma: float = 1.0) -> str:
     """The article's text: blocks in page order, joined by one space; empty for null.
 
     Each block is a line with a ratio of letters outside links to tags. The ratios are smoothed over neighbouring
-    lines; lines above a threshold (half their spread) are content. The region is the smallest element that holds
-    ``share`` of the content lines' letters, an article or main element if one is around it or a single one inside;
-    all its blocks are kept, short ones too. What marks itself as navigation, advert, form, comment and the like
+    lines; lines above a threshold (half their spread) are content. The region is the smallest container that holds
+    all content lines (a paragraph or another leaf is none), an article or main element if one is around it or a single
+    one inside; all its blocks are kept, short ones too. What marks itself as navigation, advert, form, comment and the like
     is never text.
     """
     if not html:
         return ""
     p = _Blocks()
-    try:
-        p.feed(html)
-        p.close()
-    except AssertionError:  # the parser's own complaint about a broken declaration
-        pass
+    p.feed(html)
+    p.close()
     p._cut()
     if not p.blocks:
         return ""
@@ -162,11 +170,12 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
             while at >= 0:
                 weight[at] += n
                 at = p.parent[at]
-    need = share * weight[0]
     region, best = 0, 0
     for at in range(1, len(p.kind)):
-        if weight[at] >= need:
-            region = at  # later elements of those that hold enough are deeper
+        if weight[at] >= weight[0]:
+            region = at  # later elements of those that hold all are deeper
+    while region and not (p.kind[region] in CONTAINERS and region in p.holds):
+        region = p.parent[region]
     at = region
     while at > 0:
         if p.kind[at] in CONTENT:
