@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm import crf
 from cohortspark.llm import textops as T
-from cohortspark.llm.sample import bounded
+from cohortspark.llm.sample import VALUES, bounded
 
 #: Labelled rows a language at most that the model is fitted on.
 SAMPLE_ROWS = 100
@@ -192,23 +192,24 @@ def held_out(id_: str, folds: int, fold: int):
     return F.coalesce(F.pmod(F.crc32(F.col(id_).cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 5, fold: int = 0) -> DataFrame:
+def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 5, fold: int = 0, languages: int = VALUES) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs`` (doc_id, text, lang).
 
-    The model learns from at most ``sample_rows`` rows a language, of those whose crc32(doc_id) mod ``folds`` is
-    not ``fold`` and whose language and id are not null. Predictions see whole texts and nothing else. Texts that
+    The model learns every language (more than ``languages`` of them are an error) from at most ``sample_rows`` rows
+    each, of those whose crc32(doc_id) mod ``folds`` is not ``fold`` and whose language and id are not null. Predictions see whole texts and nothing else. Texts that
     are null or have no letter, and all if nothing can be learned, are ``und`` with score 0. Rows with null ids are
     not held out. Duplicate ids are predicted row by row. Extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = docs.where(~held_out("doc_id", folds, fold) & (F.length("text") > 0)).select("doc_id", "lang")
-    rows, _ = bounded(known, docs.select("doc_id", "text"), "lang", sample_rows)
+    rows, _ = bounded(known, docs.select("doc_id", "text"), "lang", sample_rows, values=languages)
     fitted = fit(rows) if rows else None
+    part_bytes = 6_000_000 // max(4, len(fitted[0].labels) if fitted else 0)  # a score for each word and language is held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.diff(T.strings(batch.column("text"))[1])
-            cut = np.flatnonzero(np.diff(np.cumsum(sizes) // 1_500_000)) + 1
+            cut = np.flatnonzero(np.diff(np.cumsum(sizes) // part_bytes)) + 1
             for i, j in zip([0, *cut], [*cut, batch.num_rows]):
                 part = batch.slice(i, j - i)
                 texts = part.column("text").to_pylist()
