@@ -71,8 +71,11 @@ def conformal(pairs: DataFrame, by: list[str], low: float = 0.1, high: float = 0
 
 
 def warnings(points: DataFrame) -> DataFrame:
-    """Warnings of each forecast (id, now, horizon, glucose, low, high): kind, severity, first horizon."""
-    w = Window.partitionBy("id").orderBy("horizon")
+    """Warnings of each forecast (device_id, time, id, now, horizon, glucose, low, high): kind, severity, first horizon.
+
+    Forecasts are told apart by device, time and ``id``, which need not be unique across devices.
+    """
+    w = Window.partitionBy("device_id", "time", "id").orderBy("horizon")
     p = points.withColumn("pv", F.coalesce(F.lag("glucose").over(w), F.col("now"))).withColumn("pt", F.coalesce(F.lag("horizon").over(w), F.lit(0)))
     band = C.glucose_band(F.col("glucose"))
     inside = band == "in_range"
@@ -82,16 +85,16 @@ def warnings(points: DataFrame) -> DataFrame:
         one(band.isin("very_high", "very_low"), band, 0), one(band.isin("high", "low"), band, 1),
         one(inside & (F.col("high") > 180), F.lit("possible_high"), 2), one(inside & (F.col("low") < 70), F.lit("possible_low"), 2), one(spike, F.lit("spike"), 1),
     )
-    found = p.select("id", "horizon", F.explode(F.array_compact(kinds)).alias("k")).select("id", "horizon", "k.kind", "k.severity")
-    return found.groupBy("id", "kind").agg(F.min("severity").alias("severity"), F.min("horizon").cast("int").alias("horizon"))
+    found = p.select("device_id", "time", "id", "horizon", F.explode(F.array_compact(kinds)).alias("k")).select("device_id", "time", "id", "horizon", "k.kind", "k.severity")
+    return found.groupBy("device_id", "time", "id", "kind").agg(F.min("severity").alias("severity"), F.min("horizon").cast("int").alias("horizon")).select("id", "kind", "severity", "horizon")
 
 
 def forecast_points(t: Tables) -> DataFrame:
-    """A small set of forecasts made of the glucose table: each reading's next four are its horizons."""
+    """Forecasts made of the glucose table: each reading's next four are its horizons."""
     w = Window.partitionBy("device_id").orderBy("time")
-    g = t["glucose"].where("device_id % 10 = 3").select((F.col("device_id") * 100000 + F.row_number().over(w)).alias("id"), F.col("mg_dl").alias("now"), *[F.lead("mg_dl", k).over(w).alias(f"h{k}") for k in (1, 2, 3, 4)])
+    g = t["glucose"].select("device_id", "time", (F.col("device_id") * 100000 + F.row_number().over(w)).alias("id"), F.col("mg_dl").alias("now"), *[F.lead("mg_dl", k).over(w).alias(f"h{k}") for k in (1, 2, 3, 4)])
     v = F.explode(F.array(*[F.struct(F.lit(15 * k).alias("horizon"), F.col(f"h{k}").alias("glucose")) for k in (1, 2, 3, 4)])).alias("p")
-    return g.where("h4 is not null").select("id", "now", v).select("id", "now", "p.horizon", "p.glucose", (F.col("p.glucose") - 15).alias("low"), (F.col("p.glucose") + 15).alias("high"))
+    return g.where("h4 is not null").select("device_id", "time", "id", "now", v).select("device_id", "time", "id", "now", "p.horizon", "p.glucose", (F.col("p.glucose") - 15).alias("low"), (F.col("p.glucose") + 15).alias("high"))
 
 
 def rolling(t: Tables, rows: int = 12, least: int = 6) -> DataFrame:

@@ -61,7 +61,8 @@ PLANS: dict[str, Callable] = {
     "a_clarke": lambda t: A.clarke(A.persistence(t)),
     "a_conformal": lambda t: A.conformal(A.persistence(t), ["patient_id"]),
     "a_regimen_episodes": R.regimen_episodes,
-    "a_warnings": lambda t: A.warnings(A.forecast_points(t)),
+    # the SQL takes the devices that end in 3
+    "a_warnings": lambda t: A.warnings(A.forecast_points(t).where("device_id % 10 = 3")),
     "op_win_rolling": A.rolling,
     "op_win_runs": A.runs,
     "op_win_slope": A.trend,
