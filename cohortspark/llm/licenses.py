@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 from math import ceil, log
@@ -18,21 +19,103 @@ CONTAINED = 0.8
 #: Chance that a notice's window shares no band with its template, at the least overlap that verifies.
 MISS = 1e-4
 
-# Notices of common licenses, by SPDX name where there is one.
+# Notices of common licenses, by SPDX name where there is one. Where licenses differ in a word or a version
+# only, a notice is so short that the other's text holds less than CONTAINED of its shingles.
 TEMPLATES = {
     "Apache-2.0 (line)": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 (header)": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "MIT (line)": "Released under the MIT License.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BSD-3-Clause": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-2-Clause or BSD-3-Clause (conditions)": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "GPL-3.0 (line)": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0 (header)": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0 (header)": "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or",
+    "GPL-2.0 (header)": "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or",
+    "GPL-2.0 (only header)": "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "GPL-3.0 (only header)": "under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+    "LGPL-2.1 (header)": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or",
+    "LGPL-3.0 (header)": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or",
+    "LGPL-2.0 (header)": "under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or",
+    "AGPL-3.0 (header)": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or",
+    "GPL-2.0 (line)": "GNU General Public License, version 2",
+    "GPL-2.0 (v line)": "GNU General Public License v2",
+    "GPL-3.0 (v line)": "GNU General Public License v3",
+    "LGPL-2.1 (line)": "GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0 (line)": "GNU Lesser General Public License, version 3",
+    "LGPL-2.1 (v line)": "GNU Lesser General Public License v2.1",
+    "LGPL-3.0 (v line)": "GNU Lesser General Public License v3",
+    "AGPL-3.0 (line)": "GNU Affero General Public License, version 3",
+    "AGPL-3.0 (v line)": "GNU Affero General Public License v3",
+    "MPL-2.0 (header)": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-1.1 (header)": "The contents of this file are subject to the Mozilla Public License Version 1.1",
+    "MPL-2.0 (line)": "Mozilla Public License, version 2.0",
+    "MPL-2.0 (short line)": "Mozilla Public License 2.0",
+    "EPL-2.0 (line)": "Eclipse Public License 2.0",
+    "EPL-2.0 (version line)": "Eclipse Public License, version 2.0",
+    "EPL-2.0 (v line)": "Eclipse Public License v2.0",
+    "EPL-2.0 (v. line)": "Eclipse Public License - v 2.0",
+    "EPL-1.0 (v. line)": "Eclipse Public License - v 1.0",
+    "MPL-2.0 (v line)": "Mozilla Public License v2.0",
+    "Apache-2.0 (short line)": "Apache License 2.0",
+    "GPL-2.0 (short line)": "GNU GPL v2",
+    "GPL-3.0 (short line)": "GNU GPL v3",
+    "LGPL-2.1 (short line)": "GNU LGPL v2.1",
+    "LGPL-3.0 (short line)": "GNU LGPL v3",
+    "AGPL-3.0 (short line)": "GNU AGPL v3",
+    "EPL-1.0 (line)": "Eclipse Public License 1.0",
+    "EPL-1.0 (v line)": "Eclipse Public License v1.0",
+    "BSD-2-Clause (line)": "BSD 2-Clause License",
+    "BSD-2-Clause (simplified line)": "Simplified BSD License",
+    "BSD-3-Clause (line)": "BSD 3-Clause License",
+    "BSD (disclaimer)": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC (line)": "under the ISC License",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "BSL-1.0 (line)": "Distributed under the Boost Software License, Version 1.0.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "CC0-1.0 (line)": "CC0 1.0 Universal",
+    "CC0-1.0 (short line)": "Licensed under CC0",
+    "CC-BY-SA-4.0 (line)": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "CC-BY-SA-3.0 (line)": "Creative Commons Attribution-ShareAlike 3.0",
+    "CC-BY-SA-4.0 (short line)": "CC BY-SA 4.0",
+    "CC-BY-SA-3.0 (short line)": "CC BY-SA 3.0",
+    "CC-BY-4.0 (short line)": "CC BY 4.0",
+    "CC-BY-3.0 (short line)": "CC BY 3.0",
+    "CC-BY-ND-4.0 (short line)": "CC BY-ND 4.0",
+    "CC-BY-NC-SA-4.0 (short line)": "CC BY-NC-SA 4.0",
+    "CC-BY-NC-ND-4.0 (short line)": "CC BY-NC-ND 4.0",
+    "CC-BY-NC-SA-4.0 (line)": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0",
+    "CC-BY-NC-ND-4.0 (line)": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0",
+    "CC-BY-ND-4.0 (line)": "Creative Commons Attribution-NoDerivatives 4.0",
+    "CC-BY-NC-4.0 (name)": "Creative Commons Attribution-NonCommercial 4.0",
     "CC-BY-NC-4.0 (line)": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 (line)": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "all rights reserved": "All rights reserved.",
 }
 
 
+#: The tag of a file, with the expression after it up to the end of the line.
+_TAG = re.compile(rb"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+\-() \t]+)", re.IGNORECASE)
+_JOIN = ("AND", "OR", "WITH")
+_ID = re.compile(rb"[A-Za-z0-9][A-Za-z0-9.+\-]*")
+
+
+def tags(data: bytes, off: np.ndarray) -> list[tuple[int, str, int, int, float]]:
+    """(text, "id (SPDX)", first byte, last byte, 1.0) of every identifier in an SPDX tag, whatever it names."""
+    out: list[tuple[int, str, int, int, float]] = []
+    for t, (i, j) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+        for m in _TAG.finditer(data, i, j):
+            last = "OR"
+            for x in _ID.finditer(data, m.start(1), m.end(1)):
+                word = x.group().decode().rstrip(".")
+                if (word.upper() in _JOIN) == (last in _JOIN):
+                    break  # words after the expression
+                if word.upper() not in _JOIN and last != "WITH":
+                    out.append((t, f"{word} (SPDX)", x.start() - i, x.start() - i + len(word), 1.0))
+                last = word.upper()
+    return out
+
+
 def bands_for(jaccard: float, miss: float = MISS, rows: int = 1) -> int:
     """Bands of ``rows`` minima so that sets of this Jaccard share one with a probability of at least 1 - ``miss``."""
     return ceil(log(miss) / log(1 - jaccard**rows))
@@ -134,7 +217,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame
     overlapping, so any notice lies in one window. Windows that share a MinHash band with a template (missed with a
     probability of at most ``MISS``) are verified: a match contains at least 0.8 of the template's distinct five-word
     shingles (a shorter template is one shingle). Words are letters and digits, A-Z lower-cased. start and stop are
-    byte offsets of the first and last shared shingle; nearby repeats in one window are one match. Null and empty
+    byte offsets of the first and last shared shingle; identifiers in SPDX tags are matches too, of any license; nearby repeats in one window are one match. Null and empty
     texts have none; rows may repeat ids. No shuffle, no state: a lost task is simply run again.
     """
     classes = compile_templates(templates)
@@ -145,7 +228,9 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame
             for row, raw, off in T.pieces(batch.column("text")):
                 n = len(off) - 1
                 found: list = [[] for _ in range(n)]
-                for t, name, start, stop, share in scan_piece(raw, off, classes):
+                data = raw.tobytes()
+                marked = tags(data, off) if b"SPDX-LICENSE-IDENTIFIER" in data.upper() else []
+                for t, name, start, stop, share in scan_piece(raw, off, classes) + marked:
                     found[t].append({"license": name, "start": start, "stop": stop, "containment": share})
                 for f in found:
                     f.sort(key=lambda m: (m["start"], m["license"]))
