@@ -23,7 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", owner: str = "") ->
     for _ in range(MAX_ROUNDS):
         step = scratch.written(_small(_large(e)), "stars", owner)
         now = step.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.expr("bit_xor(xxhash64(v, u, 7))").alias("y")).first()
-        scratch.forget(e.sparkSession, e)
+        scratch.forget(e)
         e = step
         if tuple(now) == last:
             break

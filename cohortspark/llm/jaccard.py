@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,9 @@ from cohortspark.llm import textops as T
 #: Assumed chance that one shingle of a random other text falls together; only steers costs, never results.
 SHARE = 0.05
 RESEEDS = 8
-_KEYS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+#: Smallest hashes of a set that show whether it can have a link, and the chance that they hide one.
+LEAST, MISS = 24, 1e-11
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("least", pa.list_(pa.int64()))])
 
 
 def allocate(high: int, members: float, num: int, den: int) -> tuple[int, int]:
@@ -76,8 +79,8 @@ def _keys(elements: np.ndarray, members: tuple, num: int, den: int) -> np.ndarra
     return np.unique(np.concatenate(out))
 
 
-def _index(k: int, num: int, den: int, members: tuple):
-    """A task: text rows to (doc_id, text hash, set size, set hash, keys, sketch); keys once per set and task, copies carry none."""
+def _sets(k: int, least: int):
+    """A task: text rows to (doc_id, text_hash, n_shingles, node, least hashes); those once per set and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -85,64 +88,83 @@ def _index(k: int, num: int, den: int, members: tuple):
             ids, hashes = batch.column("doc_id"), batch.column("text_hash")
             for at, raw, off in T.pieces(batch.column("text")):
                 n = len(off) - 1
-                h, first = T.distinct(*T.shingles(T.words(raw, off), k), n)
+                h, first, node = _named(raw, off, k)
                 count = np.diff(first)
-                node = T.mix(T.sums(T.mix(h), first) + count.astype(T.U)).view(np.int64)
-                keys, marks = [], []
+                low: list = [None] * n
                 for i in range(n):
-                    if not count[i] or int(node[i]) in seen:
-                        keys.append(None)
-                        marks.append(None)
-                        continue
-                    if len(seen) >= 500_000:
-                        seen.clear()
-                    seen.add(int(node[i]))
-                    keys.append(_keys(h[first[i] : first[i + 1]], members, num, den).view(np.int64))
-                    marks.append(pairjoin.sketch(h[first[i] : first[i + 1]], num, den))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n), hashes.slice(at, n), pa.array(count, pa.int64()), pa.array(node), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], schema=_KEYS)
+                    if count[i] and int(node[i]) not in seen:
+                        if len(seen) >= 500_000:
+                            seen.clear()
+                        seen.add(int(node[i]))
+                        low[i] = np.sort(T.mix(h[first[i] : first[i + 1]]))[:least].view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), hashes.slice(at, n), pa.array(count, pa.int64()), pa.array(node), pa.array(low, pa.list_(pa.int64()))], schema=_SETS)
 
     return run
 
 
-def _verify(k: int, num: int, den: int):
-    """A task: (a, text_a, b, text_b) to the (a, b) whose shingle sets reach the threshold."""
+def _named(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, their offsets, and one hash of each whole set."""
+    h, first = T.distinct(*T.shingles(T.words(raw, off), k), len(off) - 1)
+    return h, first, T.mix(T.sums(T.mix(h), first) + np.diff(first).astype(T.U)).view(np.int64)
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for _, raw, off in T.pieces(column):
-            h, first = T.distinct(*T.shingles(T.words(raw, off), k), len(off) - 1)
-            out += [h[first[i] : first[i + 1]] for i in range(len(off) - 1)]
-        return out
+
+def _signatures(k: int, num: int, den: int, members: tuple):
+    """A task: texts to (node, n, keys, sketch, elements)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, 100):
-                batch = big.slice(at, 100)
-                one, center = sets(batch.column("text_a")), batch.column("b").to_numpy()
-                fresh = np.flatnonzero(np.concatenate([[True], center[1:] != center[:-1]])) if len(center) else []
-                two = sets(batch.column("text_b").take(pa.array(fresh)))
-                which = np.searchsorted(fresh, np.arange(len(center)), "right") - 1
-                keep = []
-                for i, x in enumerate(one):
-                    y = two[which[i]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(bool(both) and den * both >= num * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            for _, raw, off in T.pieces(batch.column("text")):
+                h, first, node = _named(raw, off, k)
+                sets = [h[i:j] for i, j in zip(first[:-1], first[1:])]
+                columns = [pa.array(node), pa.array(np.diff(first), pa.int64())]
+                columns.append(pa.array([_keys(e, members, num, den).view(np.int64) if len(e) else None for e in sets], pa.list_(pa.int64())))
+                columns.append(pa.array([pairjoin.sketch(e, num, den) for e in sets], pa.binary()))
+                columns.append(pa.array([e.tobytes() for e in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "keys", "sketch", "elements"])
 
     return run
 
 
+def _verify(num: int, den: int):
+    """A task: (a, elements_a, b, elements_b) to the (a, b) whose sets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("elements_a"), batch.column("elements_b")):
+                x, y = (np.frombuffer(e.as_buffer(), T.U) for e in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(bool(both) and den * both >= num * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def meetings(num: int, den: int, least: int = LEAST, miss: float = MISS) -> int:
+    """How many of the ``least`` smallest hashes of a set any set with Jaccard >= num/den has among its own.
+
+    Of the smallest of both sets together a share of Jaccard lies in both, and these are among the smallest of each;
+    fewer than the number returned are with a probability of at most ``miss``.
+    """
+    j, below, t = num / den, 0.0, 0
+    while t < least and (below := below + comb(least, t) * j**t * (1 - j) ** (least - t)) <= miss:
+        t += 1
+    return t
+
+
 def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", owner: str = "") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: classes of texts linked by Jaccard >= num/den of k-word shingles.
 
     Words are runs without white space, A-Z lower-cased; a text of fewer than ``k`` words is one shingle, and one
     without words or null has an empty set and links with nothing. Shingles are 64-bit hashes. Equal sets are one
-    node. Hashed shingles fall into segments by size band; sets within the threshold differ in fewer shingles than
-    the segments can absorb, so they share a segment's signature (or, in one-deletion segments, one less a
-    shingle). Per signature all nodes are first compared with the smallest one; where that leaves a signature's
-    nodes in several components, the pairs across components are compared too. So no link between components is
-    lost and no group is expanded into pairs. Duplicate ids take part row by row; rows with a null id link others
-    and get the smallest id of their component, null if it has none. Extra columns are ignored.
+    node. Sets of which hardly any of the ``LEAST`` smallest hashes are met elsewhere are left out first (see
+    ``meetings``), so most texts that are like no other never cost more than that. Hashed shingles of the rest fall
+    into segments by size band; sets within the threshold differ in fewer shingles than the segments can absorb, so
+    they share a segment's signature (or, in one-deletion segments, one less a shingle). Per signature all nodes are
+    first compared with the smallest one; where that leaves a signature's nodes in several components, the pairs
+    across components are compared too. So no link between components is lost and no group is expanded into pairs.
+    Duplicate ids take part row by row; rows with a null id link others and get the smallest id of their component,
+    null if it has none. Extra columns are ignored. An empty table gives no rows.
     """
     placed = jaccard_members(docs, k, num, den, id_col, text_col, owner)
     least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -156,40 +178,42 @@ def jaccard_members(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
     Rows of one text are in one class, so id and text hash (xxhash64) name a row where ids repeat with other texts.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    sizes = docs.select((F.octet_length("text") / 6).cast("long").alias("n")).where("n > 0").groupBy(F.floor(F.log2("n")).cast("int").alias("band")).count()
+    table = scratch.written(docs.mapInArrow(_sets(k, LEAST), "doc_id long, text_hash long, n_shingles long, node long, least array<long>"), "sets", owner)
+    near = _candidates(table.where("least is not null"), num, den, owner)
+    sizes = near.groupBy(F.floor(F.log2("n")).cast("int").alias("band")).count()
     members = tuple(sorted((r["band"], float(r["count"])) for r in sizes.collect()))  # at most 32 rows
-    table = scratch.written(docs.mapInArrow(_index(k, num, den, members), "doc_id long, text_hash long, n_shingles long, node long, keys array<long>, sketch binary"), "sets", owner)
-
-    shared = pairjoin.shared_keys(table.where("keys is not null").select("node", F.explode("keys").alias("key")), owner)
-    nodes = shared.select("node").distinct()
-    marks = table.where("keys is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    marks = scratch.written(marks, "marks", owner)
-    texts = scratch.written(_texts(docs, table, nodes, k), "texts", owner)
-    roots = pairjoin.classes(shared, marks, lambda pairs: _check(pairs, texts, k, num, den), num, den, owner)
 
-    rows = table.select("doc_id", "text_hash", "n_shingles", "node")
-    return rows.join(roots, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("root"))
+    holders = table.where("least is not null").join(near.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
+    holders = scratch.written(holders.select(F.col("at.doc_id").alias("hit_id"), F.col("at.text_hash").alias("hit_hash")).distinct(), "holders", owner)
+    # one way of joining at every size: ids and texts are dealt out by id and text
+    found = docs.join(holders.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))).select("text")
+    marks = found.mapInArrow(_signatures(k, num, den, members), "node long, n long, keys array<long>, sketch binary, elements binary")
+    marks = scratch.written(marks.dropDuplicates(["node"]), "marks", owner)
+    scratch.forget(holders)
 
+    shared = pairjoin.shared_keys(marks.select("node", F.explode("keys").alias("key")), owner)
+    sets = marks.select("node", "elements")
 
-def _texts(docs: DataFrame, table: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, text): one text of each of ``nodes``."""
-    chosen = table.where("keys is not null").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = chosen.select("doc_id", F.lit(1).alias("chosen")).distinct()
-    found = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"])).select("text")
+    def check(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(sets.withColumnsRenamed({"node": "a", "elements": "elements_a"}), "a")
+        both = one.join(sets.withColumnsRenamed({"node": "b", "elements": "elements_b"}), "b")
+        return both.select("a", "elements_a", "b", "elements_b").mapInArrow(_verify(num, den), "a long, b long")
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, raw, off in T.pieces(batch.column("text")):
-                n = len(off) - 1
-                h, first = T.distinct(*T.shingles(T.words(raw, off), k), n)
-                node = T.mix(T.sums(T.mix(h), first) + np.diff(first).astype(T.U)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), batch.column("text").slice(at, n)], names=["node", "text"])
-
-    named = found.mapInArrow(name, "node long, text string").join(nodes, "node", "left_semi")
-    return named.groupBy("node").agg(F.first("text").alias("text"))
+    roots = pairjoin.classes(shared, marks.select("node", "n", "sketch"), check, num, den, owner)
+    scratch.forget(near, marks, shared)
+    rows = table.select("doc_id", "text_hash", "n_shingles", "node")
+    return rows.join(roots, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("root"))
 
 
-def _check(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "text_a", "b", "text_b")
-    return both.mapInArrow(_verify(k, num, den), "a long, b long")
+def _candidates(sets: DataFrame, num: int, den: int, owner: str) -> DataFrame:
+    """(node, n) of the sets that may have a link, by how many of their smallest hashes other sets have too."""
+    if not (some := meetings(num, den)):  # at low thresholds they tell nothing
+        return scratch.written(sets.select("node", F.col("n_shingles").alias("n")).distinct(), "near", owner)
+    keys = sets.select("node", F.col("n_shingles").alias("n"), F.explode("least").alias("key"))
+    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    ends = scratch.written(ends, "met", owner)
+    need = F.least(F.lit(some), F.ceil(F.col("n") * num / den))
+    met = keys.join(ends, "key", "left_semi").groupBy("node", "n").count().where(F.col("count") >= need)
+    out = scratch.written(met.select("node", "n"), "near", owner)
+    scratch.forget(ends)
+    return out

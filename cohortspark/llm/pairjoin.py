@@ -103,9 +103,15 @@ def _across(num: int, den: int, nearest: bool):
 
 
 def shared_keys(keys: DataFrame, owner: str = "") -> DataFrame:
-    """(key, node, center) of the keys that several nodes have; center is the smallest of them."""
-    ends = keys.withColumn("center", F.expr("min(node) over (partition by key)")).withColumn("far", F.expr("max(node) over (partition by key)"))
-    return scratch.written(ends.where("center <> far").select("key", "node", "center"), "shared", owner)
+    """(key, node, center) of the keys that several nodes have; center is the smallest of them.
+
+    The ends of a key are aggregated before the shuffle, so no task holds a hot key; the join back can be split.
+    """
+    ends = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("far"))
+    ends = scratch.written(ends.where("center <> far").select("key", "center"), "ends", owner)
+    out = scratch.written(keys.join(ends, "key").select("key", "node", "center"), "shared", owner)
+    scratch.forget(ends)
+    return out
 
 
 def classes(shared: DataFrame, marks: DataFrame, check: Callable[[DataFrame], DataFrame], num: int, den: int, owner: str = "") -> DataFrame:
@@ -127,13 +133,16 @@ def classes(shared: DataFrame, marks: DataFrame, check: Callable[[DataFrame], Da
     for nearest in (True, False):
         r = roots.withColumnRenamed("node", "member")
         named = shared.select("key", "node").distinct().join(r, F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = named.withColumn("low", F.expr("min(root) over (partition by key)")).withColumn("high", F.expr("max(root) over (partition by key)"))
-        mixed = scratch.written(mixed.where("low <> high").select("key", "node", "root"), "mixed", owner)
+        named = scratch.written(named, "named", owner)
+        several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        mixed = scratch.written(named.join(several, "key", "left_semi"), "mixed", owner)
+        scratch.forget(named)
         spread = blocks.dealt(mixed.join(marks, "node"), ["key"], "node", CHUNK)
         more = spread.select("key", "lo", "hi", "c", "node", "root", "n", "sketch").mapInArrow(_across(num, den, nearest), "a long, b long").distinct()
         more = scratch.written(more.join(tested, ["a", "b"], "left_anti"), "more", owner)
         again = scratch.written(check(more), "links", owner)
         tested, links = tested.union(more), links.union(again)
+        scratch.forget(mixed)
         if again.limit(1).count():
             roots = scratch.written(graph.components(links, owner=owner), "roots", owner)
     return roots

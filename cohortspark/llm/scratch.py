@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 
 #: Rows below which an aggregated table may be broadcast; at most 200 bytes a row are expected.
 BROADCAST_ROWS = 20_000
+#: Shuffle files of a write are deleted when it ends, instead of when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder of ``spark.checkpoint.dir``. Only a local session without one gets a temporary folder, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="cohortspark-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cohortspark-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
 
@@ -28,19 +31,25 @@ def written(df: DataFrame, name: str, owner: str = "") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends here and executors can be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cohortspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _written.setdefault(owner, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` that nothing needs any more."""
-    files = df.inputFiles()
-    if files:
-        _delete(spark, files[0].rsplit("/", 1)[0])
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing will read any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.scratch_path)
 
 
-def clear(spark: SparkSession, owner: str = "") -> None:
+def clear(spark: SparkSession, owner: str) -> None:
     """Delete every table that ``written`` made for ``owner``; results that read them must be stored by then."""
     for path in _written.pop(owner, []):
         _delete(spark, path)
