@@ -125,21 +125,6 @@ def _signatures(k: int, num: int, den: int, members: tuple):
     return run
 
 
-def _verify(num: int, den: int):
-    """A task: (a, elements_a, b, elements_b) to the (a, b) whose sets reach the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("elements_a"), batch.column("elements_b")):
-                x, y = (np.frombuffer(e.as_buffer(), T.U) for e in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(bool(both) and den * both >= num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def meetings(num: int, den: int, least: int = LEAST, miss: float = MISS) -> int:
     """How many of the ``least`` smallest hashes of a set any set with Jaccard >= num/den has among its own.
 
@@ -192,14 +177,7 @@ def jaccard_members(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
     scratch.forget(holders)
 
     shared = pairjoin.shared_keys(marks.select("node", F.explode("keys").alias("key")), owner)
-    sets = marks.select("node", "elements")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(sets.withColumnsRenamed({"node": "a", "elements": "elements_a"}), "a")
-        both = one.join(sets.withColumnsRenamed({"node": "b", "elements": "elements_b"}), "b")
-        return both.select("a", "elements_a", "b", "elements_b").mapInArrow(_verify(num, den), "a long, b long")
-
-    roots = pairjoin.classes(shared, marks.select("node", "n", "sketch"), check, num, den, owner)
+    roots = pairjoin.classes(shared, marks.select("node", "n", "sketch"), pairjoin.checked(marks.select("node", "elements"), num, den), num, den, owner)
     scratch.forget(near, marks, shared)
     rows = table.select("doc_id", "text_hash", "n_shingles", "node")
     return rows.join(roots, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("root"))

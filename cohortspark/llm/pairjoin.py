@@ -114,6 +114,32 @@ def shared_keys(keys: DataFrame, owner: str = "") -> DataFrame:
     return out
 
 
+def _verify(num: int, den: int):
+    """A task: (a, elements_a, b, elements_b) to the (a, b) whose sets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("elements_a"), batch.column("elements_b")):
+                x, y = (np.frombuffer(e.as_buffer(), T.U) for e in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(bool(both) and den * both >= num * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def checked(sets: DataFrame, num: int, den: int) -> Callable[[DataFrame], DataFrame]:
+    """A check of pairs (a, b) by exact Jaccard of ``sets`` (node, elements: the bytes of distinct 64-bit hashes)."""
+
+    def check(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(sets.withColumnsRenamed({"node": "a", "elements": "elements_a"}), "a")
+        both = one.join(sets.withColumnsRenamed({"node": "b", "elements": "elements_b"}), "b")
+        return both.select("a", "elements_a", "b", "elements_b").mapInArrow(_verify(num, den), "a long, b long")
+
+    return check
+
+
 def classes(shared: DataFrame, marks: DataFrame, check: Callable[[DataFrame], DataFrame], num: int, den: int, owner: str = "") -> DataFrame:
     """(node, root) of all nodes that links join: pairs of a common key with Jaccard >= num/den.
 

@@ -122,6 +122,18 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h), text
 
 
+def run_hash(h: np.ndarray):
+    """A function of (starts, length): the hash of the run of ``length`` words from each start, wherever it stands."""
+    up, down = _power(len(h) + 1)
+    total = np.zeros(len(h) + 1, U)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+
+    def of(start: np.ndarray, length: int) -> np.ndarray:
+        return mix((total[start + length] - total[start]) * down[start])
+
+    return of
+
+
 def shingle_starts(w: Words, k: int) -> np.ndarray:
     """Word number at which each shingle of ``shingles`` starts."""
     count = np.diff(w.first)
