@@ -1,4 +1,8 @@
-"""Clinical and time expressions. Times are naive local times unless a zone is named."""
+"""Clinical and time expressions. Times are naive local times unless a zone is named.
+
+Fixed values: the published constants of GMI, Friedewald, CKD-EPI 2021, HOMA-IR, the HbA1c and glucose bands and the
+Clarke grid.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,10 @@ from pyspark.sql import functions as F
 
 
 def rounded(x: Column, digits: int = 0) -> Column:
-    """Half up on the double itself, the same in every engine for non-negative values."""
+    """Half away from zero on the double itself, the same in every engine."""
     scale = float(10**digits)
-    return F.floor(x.cast("double") * scale + 0.5) / scale
+    x = x.cast("double")
+    return F.signum(x) * (F.floor(F.abs(x) * scale + 0.5) / scale) + 0.0
 
 
 def gmi(mean: Column) -> Column:
@@ -74,6 +79,11 @@ def glucose_band(x: Column) -> Column:
     return F.when(x < 54, "very_low").when(x < 70, "low").when(x <= 180, "in_range").when(x <= 250, "high").when(x.isNotNull(), "very_high")
 
 
+def trend(slope: Column) -> Column:
+    """Five levels of a slope in mg/dL a minute."""
+    return F.when(slope < -2, "falling_fast").when(slope < -1, "falling").when(slope < 1, "steady").when(slope < 2, "rising").when(slope.isNotNull(), "rising_fast")
+
+
 def clarke_zone(reference: Column, predicted: Column) -> Column:
     """Clarke error grid. Zones overlap on their borders: A is asked first, then E, C and D; what is left is B."""
     r, p = reference.cast("double"), predicted.cast("double")

@@ -36,7 +36,11 @@ def tables(d: dict) -> dict[str, str]:
         "encounter": f"SELECT o_orderkey AS encounter_id, o_custkey AS patient_id, o_orderdate AS started_at, {_later(d, 'o_orderdate', 'o_orderkey % 48 + 1', 'hour')} AS ended_at, CASE WHEN o_orderpriority LIKE '1%' THEN 'emergency' WHEN o_orderpriority LIKE '2%' THEN 'inpatient' ELSE 'ambulatory' END AS class FROM orders",
         "regimen": f"SELECT o_custkey AS patient_id, l_orderkey, l_linenumber, l_partkey AS medication_id, o_orderdate AS started_at, CASE WHEN o_orderstatus = 'F' THEN {_later(d, 'o_orderdate', 'l_quantity', 'day')} END AS ended_at, l_returnflag = 'N' AS is_synthetic FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
         "concept": "SELECT p_partkey AS concept_id, p_name || ' (' || p_type || ')' AS display, p_type AS grp, p_brand AS brand FROM part",
-        "drug_class": "SELECT DISTINCT p_brand AS prefix FROM part",
+        "drug_class": "SELECT DISTINCT substr(p_brand, 1, length(p_brand) - CAST(p_partkey % 2 AS " + d["int"] + ")) AS prefix FROM part",
+        "patient_tag": "SELECT c_custkey AS patient_id, c_mktsegment AS tag FROM customer UNION ALL SELECT c_custkey, 'real' FROM customer WHERE c_nationkey % 3 = 0 UNION ALL SELECT c_custkey, 'gmi-warn' FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey, 'rich' FROM customer WHERE c_acctbal > 5000",
+        "product": "SELECT DISTINCT l_partkey AS medication_id, l_suppkey AS supplier_id, 'product ' || CAST(l_partkey AS VARCHAR(20)) || '/' || CAST(l_suppkey AS VARCHAR(20)) AS product FROM lineitem WHERE (l_partkey + l_suppkey) % 3 = 0",
+        "supplied": "SELECT o_custkey AS patient_id, l_orderkey, l_linenumber, l_partkey AS medication_id, l_suppkey AS supplier_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
+        "hourly": f"SELECT user_id AS device_id, {_later(d, zero, 'floor(' + d['mins'].format(a=zero, b='ts') + ' / 60.0)', 'hour')} AS hour, event_type AS metric, value, event_id AS ordinal FROM events",
     }
 
 
