@@ -37,6 +37,9 @@ def tables(d: dict) -> dict[str, str]:
         "regimen": f"SELECT o_custkey AS patient_id, l_orderkey, l_linenumber, l_partkey AS medication_id, o_orderdate AS started_at, CASE WHEN o_orderstatus = 'F' THEN {_later(d, 'o_orderdate', 'l_quantity', 'day')} END AS ended_at, l_returnflag = 'N' AS is_synthetic FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
         "concept": "SELECT p_partkey AS concept_id, p_name || ' (' || p_type || ')' AS display, p_type AS grp, p_brand AS brand FROM part",
         "drug_class": "SELECT DISTINCT substr(p_brand, 1, length(p_brand) - CAST(p_partkey % 2 AS " + d["int"] + ")) AS prefix FROM part",
+        "result": "SELECT patient_id, CASE WHEN l_linenumber <> 5 THEN l_orderkey END AS encounter_id, analyte, CASE WHEN l_linenumber <> 6 THEN value END AS value, CASE WHEN l_linenumber = 6 THEN 'text ' || analyte END AS value_text, effective_at, is_synthetic, l_orderkey * 10 + l_linenumber AS ordinal FROM observation",
+        "diagnosis": "SELECT o_custkey AS patient_id, CASE WHEN l_linenumber < 6 THEN l_orderkey END AS encounter_id, l_orderkey * 10 + l_linenumber AS episode_id, l_partkey % 40 AS concept_id, CASE WHEN l_partkey % 4 = 0 THEN 'finding' ELSE 'diagnosis' END AS kind, o_orderdate AS onset_at, CASE WHEN l_returnflag <> 'R' THEN l_shipdate END AS abated_at, l_returnflag = 'N' AS is_synthetic FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 3 <> 1",
+        "medicine": f"SELECT o_custkey AS patient_id, l_orderkey AS encounter_id, l_orderkey * 10 + l_linenumber AS regimen_id, l_partkey % 50 AS ingredient_id, l_partkey AS product_id, l_partkey % 50 % 4 = 0 AS lowering, l_quantity AS dose, l_suppkey % 3 AS per_day, o_orderdate AS started_at, CASE WHEN o_orderstatus <> 'O' THEN {_later(d, 'o_orderdate', 'CASE WHEN l_linenumber % 2 = 0 THEN 6 ELSE 24 * l_quantity END', 'hour')} END AS ended_at, l_returnflag = 'N' AS is_synthetic FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 3 = 1",
         "patient_tag": "SELECT c_custkey AS patient_id, c_mktsegment AS tag FROM customer UNION ALL SELECT c_custkey, 'real' FROM customer WHERE c_nationkey % 3 = 0 UNION ALL SELECT c_custkey, 'gmi-warn' FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey, 'rich' FROM customer WHERE c_acctbal > 5000",
         "product": "SELECT DISTINCT l_partkey AS medication_id, l_suppkey AS supplier_id, 'product ' || CAST(l_partkey AS VARCHAR(20)) || '/' || CAST(l_suppkey AS VARCHAR(20)) AS product FROM lineitem WHERE (l_partkey + l_suppkey) % 3 = 0",
         "supplied": "SELECT o_custkey AS patient_id, l_orderkey, l_linenumber, l_partkey AS medication_id, l_suppkey AS supplier_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey",
