@@ -180,7 +180,8 @@ def repeated_lines(docs: DataFrame, index: DataFrame, num: int = 4, den: int = 5
     placed = units.drop("keys", "start", "stop").join(roots, "node", "left").withColumn("class_id", F.coalesce("root", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "para", "text_hash")
     sizes = placed.groupBy("class_id").agg(F.count("*").alias("many"), F.min(order).alias("keep"), (F.min(_name()) != F.max(_name())).alias("across"))
-    out = placed.join(sizes.where("many > 1"), "class_id").withColumn("removed", ~order.eqNullSafe(F.col("keep")))
+    sizes = scratch.written(sizes.where("many > 1"), "classes", owner)  # so that Spark sees two shuffles and can split a hot class
+    out = placed.join(sizes, "class_id").withColumn("removed", ~order.eqNullSafe(F.col("keep")))
     return out.select("doc_id", "text_hash", "para", "first", "last", "class_id", "across", "removed")
 
 
@@ -200,7 +201,8 @@ def repeated_windows(index: DataFrame, owner: str = "") -> DataFrame:
     scratch.forget(met)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "first", "text_hash")
     several = near.groupBy("class_id").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(order).alias("keep")).where("low <> high")
-    out = near.join(several.select("class_id", "keep"), "class_id")
+    several = scratch.written(several.select("class_id", "keep"), "classes", owner)
+    out = near.join(several, "class_id")
     return out.select("doc_id", "text_hash", "first", (F.col("first") + WINDOW).alias("last"), "class_id", (~order.eqNullSafe(F.col("keep"))).alias("removed"))
 
 

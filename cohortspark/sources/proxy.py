@@ -28,6 +28,10 @@ def tables(d: dict) -> dict[str, str]:
         "grid": f"SELECT user_id AS patient_id, {_later(d, zero, 'floor(' + d['mins'].format(a=zero, b='ts') + ' / 5.0) * 5', 'minute')} AS time, CAST(max(40 + floor(value)) AS DOUBLE) AS mg_dl, max(value) >= 360 AS censored FROM ev GROUP BY 1, 2",
         "wearable": "SELECT user_id AS device_id, ts AS time, CASE event_type WHEN 'view' THEN 'heart_rate' WHEN 'click' THEN 'steps' WHEN 'error' THEN 'spo2' WHEN 'purchase' THEN 'ibi_ms' ELSE 'mets' END AS metric, "
         "CASE event_type WHEN 'view' THEN 50 + floor(value / 5) WHEN 'click' THEN floor(value) WHEN 'error' THEN 100 - floor(value / 20) WHEN 'purchase' THEN 600 + floor(value) ELSE 1 + floor(value / 100) END AS value FROM ev",
+        "reading": f"SELECT user_id AS patient_id, {_later(d, base, '5 * rn', 'minute')} AS time, 'glucose' AS metric, CAST(40 + floor(value) AS DOUBLE) AS value, CAST(NULL AS VARCHAR(9)) AS stage, CAST(NULL AS {d['ts']}) AS until, event_id AS ordinal FROM ev WHERE rn % 17 <> 0 "
+        f"UNION ALL SELECT user_id, {_later(d, base, '5 * rn', 'minute')}, CASE event_type WHEN 'view' THEN 'heart_rate' WHEN 'click' THEN 'steps' WHEN 'error' THEN 'spo2' WHEN 'purchase' THEN 'sleep' ELSE 'mets' END, "
+        f"CASE event_type WHEN 'view' THEN 40 + floor(value / 5) WHEN 'click' THEN floor(value) WHEN 'error' THEN 100 - floor(value / 25) WHEN 'purchase' THEN NULL ELSE floor(value / 60) END, CASE WHEN event_type = 'purchase' THEN CASE event_id % 3 WHEN 0 THEN 'deep' WHEN 1 THEN 'rem' ELSE 'light' END END, "
+        f"CASE WHEN event_type = 'purchase' THEN {_later(d, base, '5 * rn + 10', 'minute')} END, event_id FROM ev",
         "sleep": f"SELECT user_id AS device_id, ts AS start_time, least(nxt, {_later(d, 'ts', '8', 'hour')}) AS end_time, CASE event_type WHEN 'view' THEN 'deep' WHEN 'click' THEN 'light' WHEN 'error' THEN 'rem' WHEN 'purchase' THEN 'awake' ELSE 'light' END AS stage FROM ev WHERE nxt IS NOT NULL AND nxt > ts",
         "observation": """SELECT o_custkey AS patient_id, l_orderkey, l_linenumber, l_shipdate AS effective_at, l_returnflag = 'N' AS is_synthetic,
   CASE (l_linenumber * 7 + l_partkey) % 9 WHEN 0 THEN 'hba1c' WHEN 1 THEN 'cholesterol_total' WHEN 2 THEN 'hdl' WHEN 3 THEN 'triglycerides' WHEN 4 THEN 'glucose_fasting' WHEN 5 THEN 'insulin' WHEN 6 THEN 'creatinine' WHEN 7 THEN 'weight' ELSE 'height' END AS analyte,
