@@ -89,13 +89,16 @@ def mix(
     (doc_id, levels, epoch, n_tokens, take_tokens), or with ``whole_rows`` the columns of ``docs`` plus epoch and
     take_tokens: the last document of a prefix is cut to ``take_tokens``. Null names count as ''. Documents without
     tokens are never chosen. Rows that share an id and hash stand together; if the cut falls on them, each is
-    taken up to the tokens left there. Extra columns are ignored, or kept with ``whole_rows``.
+    taken up to the tokens left there. Extra columns are ignored, or kept with ``whole_rows`` whatever their names;
+    only epoch and take_tokens of the documents come out as epoch_of_document and take_tokens_of_document. An empty
+    table gives no rows.
     """
     names = list(levels)
     own = {c: F.coalesce(x.cast("string"), F.lit("")).alias(f"_mix_{c}") for c, x in levels.items()}
     cols = [f"_mix_{c}" for c in names]
     renamed = {k: v for k, v in weights.items()}
-    full_rows = docs.select("*", *own.values(), n_tokens(F.col("text").cast("string")).alias("_mix_n"), F.col("doc_id").cast("long").alias("_mix_id"))
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_mix_row")] if whole_rows else []
+    full_rows = docs.select(*whole, *own.values(), n_tokens(F.col("text").cast("string")).alias("_mix_n"), F.col("doc_id").cast("long").alias("_mix_id"))
     narrow = scratch.written(full_rows.select("_mix_id", *cols, "_mix_n"), "tokens", owner)
 
     leaves = narrow.groupBy(*cols).agg(F.sum("_mix_n").alias("tokens"), F.count("*").alias("rows"))
@@ -109,20 +112,24 @@ def mix(
     sums = placed.groupBy(*cols, "part", "range").agg(F.sum("_mix_n").alias("n"))
     leaf = ", ".join(cols)
     sums = sums.withColumn("before", F.expr(f"sum(n) over (partition by {leaf} order by range) - n")).where("before < part and part <= before + n")
+    # a hot leaf is no hot task: only the one range that the cut falls into, RANGE_ROWS rows on average, is sorted
     edge = placed.join(scratch.small(scratch.written(sums.select(*cols, "range", "before"), "ranges", owner)), [*cols, "range"])
     units = edge.groupBy(*cols, "part", "before", "h", "_mix_id").agg(F.sum("_mix_n").alias("n"))
     units = units.withColumn("start", F.expr(f"before + sum(n) over (partition by {leaf} order by h, _mix_id) - n")).where("start < part and part <= start + n")
     cuts = units.select(*cols, F.col("h").alias("cut_h"), F.col("_mix_id").alias("cut_id"), (F.col("part") - F.col("start")).alias("cut_take"))
     plan = scratch.written(plan.join(cuts, cols, "left").select(*cols, "full", "part", "budget", "cut_h", "cut_id", "cut_take"), "cuts", owner)
 
+    plan = plan.withColumnsRenamed({c: f"_mix_{c}" for c in ("full", "part", "budget", "cut_h", "cut_id", "cut_take")})
     rows = (full_rows if whole_rows else narrow).where("_mix_n > 0").join(scratch.small(plan), cols)
-    rows = rows.withColumn("_mix_h", place(seed, F.col("full"), F.col("_mix_id")))
-    at_cut = F.expr("_mix_h = cut_h and _mix_id <=> cut_id")
-    last = F.expr("part > 0 and (_mix_h < cut_h or (_mix_h = cut_h and (_mix_id <=> cut_id or coalesce(_mix_id < cut_id, _mix_id is null))))")
-    epochs = F.expr("case when full > 0 then sequence(0, cast(full as int) - 1) else cast(array() as array<int>) end")
-    epochs = F.when(last, F.concat(epochs, F.array(F.col("full").cast("int")))).otherwise(epochs)
+    rows = rows.withColumn("_mix_h", place(seed, F.col("_mix_full"), F.col("_mix_id")))
+    at_cut = F.expr("_mix_h = _mix_cut_h and _mix_id <=> _mix_cut_id")
+    last = F.expr("_mix_part > 0 and (_mix_h < _mix_cut_h or (_mix_h = _mix_cut_h and (_mix_id <=> _mix_cut_id or coalesce(_mix_id < _mix_cut_id, _mix_id is null))))")
+    epochs = F.expr("case when _mix_full > 0 then sequence(0, cast(_mix_full as int) - 1) else cast(array() as array<int>) end")
+    epochs = F.when(last, F.concat(epochs, F.array(F.col("_mix_full").cast("int")))).otherwise(epochs)
     rows = rows.withColumn("_mix_epoch", F.explode(epochs))
-    take = F.when((F.col("_mix_epoch") == F.col("full")) & at_cut, F.least("_mix_n", "cut_take")).otherwise(F.col("_mix_n"))
+    take = F.when((F.col("_mix_epoch") == F.col("_mix_full")) & at_cut, F.least("_mix_n", "_mix_cut_take")).otherwise(F.col("_mix_n"))
     if whole_rows:
-        return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_mix_epoch").alias("epoch"), take.alias("take_tokens"))
+        more = {"epoch": F.col("_mix_epoch"), "take_tokens": take}
+        # a column of the documents that has a name of these two makes way under another name
+        return rows.select(*[F.col("_mix_row")[c].alias(f"{c}_of_document" if c in more else c) for c in docs.columns], *[x.alias(c) for c, x in more.items()])
     return rows.select(F.col("_mix_id").alias("doc_id"), *[F.col(f"_mix_{c}").alias(c) for c in names], F.col("_mix_epoch").alias("epoch"), F.col("_mix_n").alias("n_tokens"), take.alias("take_tokens"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import scratch
@@ -28,15 +28,19 @@ def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
-def slot_bytes(rows: DataFrame) -> DataFrame:
-    """(virtual_slot, bytes, rows): one row per slot in use, so at most ``SLOTS``."""
-    return rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """(virtual_slot, bytes, rows) of all ``slots``, those without rows with zeros."""
+    used = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("virtual_slot"))
+    zero = F.lit(0).cast("long")
+    return every.join(used, "virtual_slot", "left").select("virtual_slot", F.coalesce("bytes", zero).alias("bytes"), F.coalesce("rows", zero).alias("rows"))
 
 
 def assign(bytes_: DataFrame, shards: int, version: int = 1) -> DataFrame:
     """The slot map (version, virtual_slot, shard, bytes, rows): heaviest slot first to the lightest shard.
 
-    One fold over at most ``SLOTS`` slots. Ties go to the smaller slot and the smaller shard.
+    One fold over all slots, ``SLOTS`` at most; slots without rows are in it too, so a grown corpus finds its own.
+    Ties go to the smaller slot and the smaller shard.
     """
     slots = F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("minus"), F.col("virtual_slot").alias("slot"), "rows")))
     start = F.struct(
@@ -86,12 +90,27 @@ def rebalance(slot_map: DataFrame, bytes_: DataFrame, shards: int, version: int)
     return kept.unionByName(fresh).select(F.lit(version).alias("version"), "virtual_slot", "shard", "bytes", "rows")
 
 
+def versions(spark: SparkSession, path: str) -> set[int]:
+    """The versions stored in ``path``; none if there is nothing yet."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return set()
+    return {r["version"] for r in spark.read.parquet(path).select("version").distinct().collect()}
+
+
 def save(slot_map: DataFrame, path: str) -> None:
-    """Add a version to the stored map; readers take the greatest version or the one they were built with."""
+    """Add a version to the stored map; readers take the greatest version or the one they were built with.
+
+    A version that is stored already is never written again: that is an error.
+    """
+    new = {r["version"] for r in slot_map.select("version").distinct().collect()}
+    if twice := new & versions(slot_map.sparkSession, path):
+        raise ValueError(f"{path} has version {sorted(twice)} already")
     slot_map.write.mode("append").partitionBy("version").parquet(path)
 
 
-def load(spark, path: str, version: int | None = None) -> DataFrame:
+def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The slots of one version of the stored map, by default the greatest."""
     stored = spark.read.parquet(path)
     if version is None:
         version = stored.agg(F.max("version")).first()[0]
@@ -104,13 +123,17 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map: DataF
     The law is ``bytes``: shards of nearly equal size, as the slot map (by default a new one) balances the bytes
     of hashed slots. ``slot`` numbers the rows of a shard without gaps from 0, in the order of virtual slots and,
     in one, of ids; repeated rows stand next to each other. Null and empty texts have the size ``OVERHEAD``; a null
-    text has no checksum. Rows with null ids are placed by text. An empty table gives no rows.
+    text has no checksum. Rows with null ids are placed by text. An empty table gives no rows. A given ``slot_map``
+    must name every slot that has rows; a row whose slot it lacks is an error, never dropped. Extra columns are ignored.
     """
     rows = scratch.written(sized(docs, slots), "sized", owner)
-    per_slot = slot_bytes(rows)
+    per_slot = slot_bytes(rows, slots)
     slot_map = scratch.written(slot_map if slot_map is not None else assign(per_slot, shards), "slot_map", owner)
     order = "over (partition by shard order by virtual_slot)"
-    placed = slot_map.join(per_slot.select("virtual_slot", F.col("rows").alias("n")), "virtual_slot").select("virtual_slot", "shard", F.expr(f"sum(n) {order} - n").alias("before"))
+    known = per_slot.select("virtual_slot", F.col("rows").alias("n")).join(slot_map, "virtual_slot", "left")
+    missing = F.raise_error(F.concat(F.lit("the slot map has no slot "), F.col("virtual_slot").cast("string"))).cast("int")
+    known = known.select("virtual_slot", "n", F.when(F.col("shard").isNotNull() | (F.col("n") == 0), F.col("shard")).otherwise(missing).alias("shard"))
+    placed = known.select("virtual_slot", "shard", F.expr(f"sum(n) {order} - n").alias("before"))
     numbered = rows.withColumn("at", F.expr("row_number() over (partition by virtual_slot order by doc_id, text_crc32, size)"))
     out = numbered.join(F.broadcast(placed), "virtual_slot")  # at most ``slots`` rows
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("at") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
