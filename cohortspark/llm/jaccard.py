@@ -153,6 +153,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
     """
     placed = jaccard_members(docs, k, num, den, id_col, text_col, owner)
     least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = scratch.written(least, "least", owner)  # so that Spark sees two shuffles and can split a hot class
     full = placed.where("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", "component_id")
     return full.union(placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
