@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm import scratch
 
-#: Test terms that one pass over the corpus looks for; more take more passes, each over all rows.
-TERMS_A_PASS = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,79 +25,89 @@ def windows(items: DataFrame, size: int) -> DataFrame:
     return each.groupBy("words").agg(F.collect_set("item_id").alias("items")).select(F.sha2(F.concat_ws(" ", "words"), 256).alias("window_id"), "words", "items")
 
 
-def _passes(terms: DataFrame) -> list[list[str]]:
-    """The terms in blocks of about ``TERMS_A_PASS``; the test set is what a caller states, not the corpus."""
-    n = -(-terms.count() // TERMS_A_PASS)
-    return [[r["term"] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i).collect()] for i in range(n)]
+def text_hash(text: Column) -> Column:
+    """What tells apart rows that share an id."""
+    return F.xxhash64(text, F.octet_length(text))
 
 
-def rarest(docs: DataFrame, tests: DataFrame, owner: str = "") -> DataFrame:
-    """(window_id, term, offset): the term of each window with the fewest postings in all of ``docs``.
+def index(docs: DataFrame, terms: DataFrame | None = None, owner: str = "") -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, postings) of ``docs``, stored: the positional inverted index.
 
-    Windows with a term that no document has cannot occur and are left out.
+    The vocabulary is (term, term_id): ``terms`` (term), or every word of the corpus, which serves any tests. Postings
+    are (term_id, doc, text_hash, pos), sorted by term in each file, so that the lists of rare terms are read without
+    the rest. One pass over the corpus whatever the number of terms. A null id is 0 there; equal texts have equal lists.
     """
-    terms = tests.select("window_id", F.posexplode("words").alias("offset", "term"))
-    counts = None
-    for block in _passes(terms.select("term").distinct()):
-        found = docs.select(F.explode(F.filter(tokens(F.col("text")), lambda w: w.isin(block))).alias("term")).groupBy("term").count()
-        counts = found if counts is None else counts.union(found)
-    if counts is None:
-        return terms.select("window_id", "term", "offset")
-    counts = scratch.written(counts, "terms", owner)
-    rated = terms.join(counts, "term", "left").select("window_id", F.struct(F.coalesce("count", F.lit(0)).alias("count"), "term", "offset").alias("t"))
-    return rated.groupBy("window_id").agg(F.min("t").alias("t")).where("t.count > 0").select("window_id", "t.term", "t.offset")
+    words = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc"), text_hash(F.col("text")).alias("text_hash"), F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
+    if terms is None:
+        terms = words.select("term")
+    vocabulary = scratch.written(terms.where("term is not null").select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "vocabulary", owner)
+    found = words.join(scratch.small(vocabulary), "term").select("term_id", "doc", "text_hash", "pos")
+    return vocabulary, scratch.written(found.sortWithinPartitions("term_id", "doc", "text_hash", "pos"), "postings", owner)
 
 
-def text_hash(text: Column) -> Column:
-    """Two hashes and the length of a text, which tell apart rows that share an id."""
-    return F.concat_ws("-", F.hex(F.xxhash64(text)), F.hex(F.hash(text)), F.coalesce(F.octet_length(text), F.lit(-1)).cast("string"))
+def ranked(tests: DataFrame, vocabulary: DataFrame, postings: DataFrame, owner: str = "") -> DataFrame:
+    """(window_id, length, offset, term_id, rank): the terms of each window, rank 1 has the fewest postings.
 
+    Windows with a term that no document has cannot occur and are left out.
+    """
+    counts = scratch.written(postings.groupBy("term_id").count(), "counts", owner)
+    known = scratch.small(scratch.written(vocabulary.join(counts, "term_id"), "known", owner))
+    terms = tests.select("window_id", F.size("words").alias("length"), F.posexplode("words").alias("offset", "term")).join(known, "term", "left")
+    w = Window.partitionBy("window_id")  # at most as many rows as a window has words
+    terms = terms.withColumn("there", F.count("term_id").over(w)).where("there = length")
+    terms = terms.withColumn("rank", F.row_number().over(w.orderBy("count", "offset")))
+    return scratch.written(terms.select("window_id", "length", "offset", "term_id", "rank"), "ranked", owner)
 
-def index(docs: DataFrame, terms: DataFrame, reach: int, owner: str = "") -> DataFrame:
-    """(doc_id, text_hash, n_words, postings): stored postings of ``terms`` in every document.
 
-    A posting is (term, pos, lo, near): its position and the words from ``lo`` on, up to ``reach`` to each side,
-    so lists of other terms need no second look-up.
-    """
-    words = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), tokens(F.col("text")).alias("words"))
-    blocks = _passes(terms.select("term").distinct()) or [[]]
-    lists = [F.filter(F.transform("words", _posting(block, reach)), lambda p: p.isNotNull()) for block in blocks]
-    found = words.select("doc_id", "text_hash", F.size("words").alias("n_words"), (lists[0] if len(lists) == 1 else F.concat(*lists)).alias("postings"))
-    return scratch.written(found, "postings", owner)
+PLACE = ["doc", "text_hash", "start", "window_id"]
 
 
-def _posting(block: list[str], reach: int):
-    def one(w: Column, i: Column) -> Column:
-        lo = F.greatest(i - reach, F.lit(0))
-        there = w.isin(block) if block else F.lit(False)
-        return F.when(there, F.struct(w.alias("term"), i.alias("pos"), lo.alias("lo"), F.slice("words", lo + 1, i - lo + reach + 1).alias("near")))
+def search(vocabulary: DataFrame, postings: DataFrame, tests: DataFrame, slop: int | None = None, owner: str = "") -> DataFrame:
+    """(doc, text_hash, start, length, window_id, exact): every place where a window of ``tests`` occurs, from a stored index.
 
-    return one
+    The lists of each window's rarest term propose places (position less offset); the list of the next rarest must
+    meet there, then those of all others, whose postings are read for the documents that are left only. With
+    ``slop``, a term may stand up to ``slop`` words from its place (exact false), in any order.
+    """
+    terms = ranked(tests, vocabulary, postings, owner)
+    reach = slop or 0
+    one = terms.where("rank = 1").select("window_id", "length", "offset", "term_id")
+    places = postings.join(scratch.small(one), "term_id").select("doc", "text_hash", (F.col("pos") - F.col("offset")).alias("start"), "window_id", "length")
+    places = places.where(F.lit(slop is not None) | (F.col("start") >= 0))
+
+    def wanted(rows: DataFrame, more: DataFrame) -> DataFrame:
+        """The posting that each further term must have: one for every way it may be off its place."""
+        off = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("off")
+        want = rows.join(scratch.small(more.select("window_id", "offset", "term_id")), "window_id").select(*PLACE, "length", "offset", "term_id", off)
+        return want.withColumn("pos", F.col("start") + F.col("offset") + F.col("off"))
+
+    key = ["term_id", "doc", "text_hash", "pos"]
+    two = terms.where("rank = 2")
+    second = postings.join(scratch.small(two.select("term_id").distinct()), "term_id", "left_semi")
+    met = wanted(places, two).join(second.hint("merge"), key, "left_semi").select(*PLACE, "length", F.abs("off").alias("off"))
+    met = met.unionByName(places.where("length = 1").withColumn("off", F.lit(0)))
+    met = scratch.written(met.groupBy(*PLACE, "length").agg(F.min("off").alias("off")), "places", owner)
+
+    left = scratch.small(scratch.written(met.where("length > 2").select("doc", "text_hash").distinct(), "left", owner))
+    rest = postings.join(left, ["doc", "text_hash"], "left_semi")
+    others = wanted(met.drop("off"), terms.where("rank > 2")).join(rest, key, "left_semi")
+    others = others.groupBy(*PLACE, "length", "offset").agg(F.min(F.abs("off")).alias("off")).groupBy(*PLACE, "length").agg(F.count("*").alias("n"), F.max("off").alias("far"))
+    whole = met.where("length > 2").join(others.where("n = length - 2").drop("length"), PLACE).select(*PLACE, "length", F.greatest("off", "far").alias("off"))
+    out = whole.unionByName(met.where("length <= 2").select(*PLACE, "length", "off"))
+    return out.select("doc", "text_hash", "start", "length", "window_id", (F.col("off") == 0).alias("exact"))
 
 
 def matches(docs: DataFrame, items: DataFrame, size: int = 10, slop: int | None = None, owner: str = "") -> tuple[DataFrame, DataFrame]:
-    """(index, matches): every place of ``docs`` where a window of ``items`` occurs.
+    """(rows, matches): n_words of every row of ``docs``, and every place where a window of ``items`` occurs.
 
-    Matches are (doc_id, text_hash, start, length, window_id, items, exact). Postings of each window's rarest term
-    propose places; the other terms' positions, shifted by their offsets, must meet there (exact). With ``slop``,
-    places where all words of a window occur within ``slop`` words around it match too (exact false).
+    Rows are (doc_id, text_hash, n_words); matches are (doc_id, text_hash, start, length, window_id, items, exact), with
+    the id 0 for null. Only the terms of ``items`` are indexed.
     """
     tests = scratch.written(windows(items, size), "windows", owner)
-    anchors = rarest(docs, tests, owner)
-    anchored = scratch.written(anchors.join(tests, "window_id"), "anchors", owner)
-    stored = index(docs, anchored, size - 1 + (slop or 0), owner)
-    posts = stored.select("doc_id", "text_hash", F.explode("postings").alias("p")).select("doc_id", "text_hash", "p.*")
-    met = posts.join(scratch.small(anchored), "term").withColumn("start", F.col("pos") - F.col("offset")).withColumn("length", F.size("words"))
-    here = F.col("start") - F.col("lo")
-    exact = (F.col("start") >= 0) & (here >= 0) & (F.slice("near", F.greatest(here, F.lit(0)) + 1, F.col("length")) == F.col("words"))
-    met = met.withColumn("exact", exact)
-    if slop is None:
-        met = met.where("exact")
-    else:
-        low = F.greatest(here - slop, F.lit(0))
-        around = F.slice("near", low + 1, here - low + F.col("length") + slop)
-        met = met.where(F.col("exact") | (F.size(F.array_except("words", around)) == 0))
-    return stored, met.select("doc_id", "text_hash", "start", "length", "window_id", "items", "exact")
+    vocabulary, postings = index(docs, tests.select(F.explode("words").alias("term")), owner)
+    found = scratch.written(search(vocabulary, postings, tests, slop, owner), "found", owner)
+    rows = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"), F.size(tokens(F.col("text"))).alias("n_words"))
+    return rows, found.join(tests.select("window_id", "items"), "window_id").select(F.col("doc").alias("doc_id"), "text_hash", "start", "length", "window_id", "items", "exact")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, owner: str = "") -> DataFrame:
@@ -110,7 +118,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, owner: str
     item ids count as hits but are not listed. Rows may repeat ids; null ids are kept. Extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stored, met = matches(docs, items.select("item_id", F.col("text").cast("string").alias("text")), size, owner=owner)
+    counted, met = matches(docs, items.select("item_id", F.col("text").cast("string").alias("text")), size, owner=owner)
     # one text is one group: at most a span for each of its words
     spans = met.groupBy("doc_id", "text_hash", "start").agg(F.max("length").alias("length"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     whole = spans.groupBy("doc_id", "text_hash").agg(
@@ -125,8 +133,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, owner: str
     )
     names = F.array_sort(F.array_distinct(F.transform("items", lambda x: x.cast("string"))))
     hits = whole.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), merged.alias("n_hit"), names.alias("names"))
-    rows = stored.select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"))
-    out = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
+    hits = scratch.small(scratch.written(hits, "hits", owner))
+    rows = counted.select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"))
+    out = rows.join(hits, (F.coalesce("doc_id", F.lit(0)) == F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     names = F.coalesce("names", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
