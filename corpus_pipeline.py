@@ -77,7 +77,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS)
     _, found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), owner=owner)
     hit = scratch.written(found.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct(), "hit", owner)
-    return docs.join(scratch.small(hit), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (decontaminate.text_hash(F.col("text")) == F.col("hit_hash")), "left_anti")
+    return docs.join(scratch.small(hit), (F.coalesce("doc_id", F.lit(0)) == F.col("hit_id")) & (decontaminate.text_hash(F.col("text").cast("string")) == F.col("hit_hash")), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
