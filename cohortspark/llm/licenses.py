@@ -126,7 +126,7 @@ def _first(h: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Class:
-    """Templates of like size: shingles of k words, at most ``stride`` of them; windows are twice as long."""
+    """Templates of like size: shingles of k words, at most ``stride`` of them; windows are twice and four times as long."""
 
     def __init__(self, k: int, stride: int, members: list[tuple[str, np.ndarray]]):
         self.k, self.stride = k, stride
@@ -134,34 +134,49 @@ class _Class:
         self.sets = [np.unique(m[1]) for m in members]
         least = min(len(s) for s in self.sets)
         need = ceil(CONTAINED * least)
-        self.count = bands_for(need / (2 * stride + least - need))
+        self.count = bands_for(need / (4 * stride + least - need))
         self.seeds = T.seeds(self.count, 31 * stride + k)
-        self.minima = np.array([[self.hash(s, i).min() for i in range(self.count)] for s in self.sets])
+        minima = np.array([[self.hash(s, i).min() for i in range(self.count)] for s in self.sets])
+        # the band index: for each band its keys in order, and the templates that have them
+        self.order = np.argsort(minima, axis=0, kind="stable")
+        self.keys = np.take_along_axis(minima, self.order, axis=0)
         self.known = np.unique(np.concatenate(self.sets))
 
     def hash(self, h: np.ndarray, i: int) -> np.ndarray:
         return (h ^ self.seeds[i]) * (self.seeds[i] | T.U(1)) >> T.U(16)
 
-    def candidates(self, h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(window's first shingle, end, text, template) of windows that share a band with a template."""
-        first = _first(h, text, n)
-        many = np.diff(first)
-        blocks = np.maximum(-(-many // self.stride), (many > 0).astype(np.int64))
-        owner = np.repeat(np.arange(n), blocks)
-        base = np.concatenate([[0], np.cumsum(blocks)])
-        start = first[owner] + (np.arange(len(owner)) - base[owner]) * self.stride
+    def windows(self, first: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first shingle, end, text) of the windows of both lengths, half overlapping, with a shingle that some template has."""
+        out = []
+        for half in (self.stride, 2 * self.stride):
+            many = np.diff(first)
+            blocks = np.maximum(-(-many // half), (many > 0).astype(np.int64))
+            owner = np.repeat(np.arange(len(many)), blocks)
+            base = np.concatenate([[0], np.cumsum(blocks)])
+            start = first[owner] + (np.arange(len(owner)) - base[owner]) * half
+            stop = np.minimum(start + 2 * half, first[owner + 1])
+            use = np.searchsorted(hits, stop) > np.searchsorted(hits, start)
+            out.append((start[use], stop[use], owner[use]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def candidates(self, h: np.ndarray, first: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(window's first shingle, end, text, template) of windows that share a band with a template.
+
+        A window without a single shingle of the templates can share none, so minima are taken of the others only.
+        """
+        start, stop, owner = self.windows(first, hits)
         if not len(start):
             z = np.zeros(0, np.int64)
             return z, z, z, z
-        joined = np.append(owner[1:] == owner[:-1], False)
-        stop = np.where(joined, np.append(start[2:], [len(h), len(h)])[: len(start)], first[owner + 1])
-        stop = np.minimum(stop, first[owner + 1])
+        size = stop - start
+        at = np.concatenate([[0], np.cumsum(size)])
+        x = h[np.arange(at[-1]) - np.repeat(at[:-1] - start, size)]
         hit = np.zeros((len(start), len(self.sets)), bool)
         for i in range(self.count):
-            least = np.minimum.reduceat(self.hash(h, i), start)
-            nxt = np.append(least[1:], least[-1])
-            least = np.where(joined, np.minimum(least, nxt), least)
-            hit |= least[:, None] == self.minima[:, i][None, :]
+            least = np.minimum.reduceat(self.hash(x, i), at[:-1])
+            left, right = (np.searchsorted(self.keys[:, i], least, side) for side in ("left", "right"))
+            for w in np.flatnonzero(right > left):
+                hit[w, self.order[left[w] : right[w], i]] = True
         w, t = np.nonzero(hit)
         return start[w], stop[w], owner[w], t
 
@@ -190,10 +205,15 @@ def scan_piece(raw: np.ndarray, off: np.ndarray, classes: list[_Class]) -> list[
             h, text = T.shingles(w, c.k)
             at = T.shingle_starts(w, c.k)
             full = np.diff(w.first)[text] >= c.k
-            by_k[c.k] = h[full], text[full], at[full]
-        h, text, at = by_k[c.k]
+            h, text, at = h[full], text[full], at[full]
+            known = np.unique(np.concatenate([x.known for x in classes if x.k == c.k]))
+            by_k[c.k] = h, _first(h, text, n), at, np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+        h, first, at, some = by_k[c.k]
+        hits = some[np.isin(h[some], c.known)]
+        if not len(hits):
+            continue
         found: dict[tuple[int, int], list] = defaultdict(list)
-        for s, e, t, m in zip(*c.candidates(h, text, n)):
+        for s, e, t, m in zip(*c.candidates(h, first, hits)):
             here = np.flatnonzero(np.isin(h[s:e], c.sets[m])) + s
             share = len(np.unique(h[here])) / len(c.sets[m])
             if share >= CONTAINED:
@@ -213,12 +233,14 @@ def scan_piece(raw: np.ndarray, off: np.ndarray, classes: list[_Class]) -> list[
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """(doc_id, matches) of every row of ``docs`` (doc_id, text); matches are (license, start, stop, containment).
 
-    Each text is cut into overlapping windows, for every class of templates twice as long as its longest and half
-    overlapping, so any notice lies in one window. Windows that share a MinHash band with a template (missed with a
+    Each text is cut into half-overlapping windows, for every class of templates twice and four times as long as its
+    longest: a notice as it is lies in one of the first, one that is stretched to twice its class's length by words set
+    into it in one of the second. Windows that share a MinHash band with a template (missed with a
     probability of at most ``MISS``) are verified: a match contains at least 0.8 of the template's distinct five-word
     shingles (a shorter template is one shingle). Words are letters and digits, A-Z lower-cased. start and stop are
-    byte offsets of the first and last shared shingle; identifiers in SPDX tags are matches too, of any license; nearby repeats in one window are one match. Null and empty
-    texts have none; rows may repeat ids. No shuffle, no state: a lost task is simply run again.
+    byte offsets of the first and last shared shingle; identifiers in SPDX tags are matches too, of any license; nearby repeats in one
+    window are one match. Null and empty texts have none, texts of any length are read whole, rows may repeat ids, an
+    empty table gives no rows. Extra columns are ignored. No shuffle, no state: a lost task is simply run again.
     """
     classes = compile_templates(templates)
     match = pa.struct([("license", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("containment", pa.float64())])
