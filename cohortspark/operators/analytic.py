@@ -55,7 +55,7 @@ def metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
     """RMSE, MAE, MARD, bias and R2 of (predicted, actual) pairs."""
     e, y = F.col("predicted") - F.col("actual"), F.col("actual")
     g = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(F.abs(e) / y).alias("mard"), F.avg(e).alias("bias"), F.var_pop("actual").alias("v"))
-    return g.select(*by, "n", C.rounded(F.sqrt("mse"), 3).alias("rmse"), C.rounded(F.col("mae"), 3).alias("mae"), C.rounded(100 * F.col("mard"), 2).alias("mard_pct"), C.rounded(F.col("bias") + 1000, 3).alias("bias_1000"), C.rounded(1000 - F.col("mse") / F.nullif(F.col("v"), F.lit(0.0)), 3).alias("r2_1000"))
+    return g.select(*by, "n", C.rounded(F.sqrt("mse"), 3).alias("rmse"), C.rounded(F.col("mae"), 3).alias("mae"), C.rounded(100 * F.col("mard"), 2).alias("mard_pct"), C.rounded(F.col("bias"), 3).alias("bias"), C.rounded(1 - F.col("mse") / F.nullif(F.col("v"), F.lit(0.0)), 3).alias("r2"))
 
 
 def clarke(pairs: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def conformal(pairs: DataFrame, by: list[str], low: float = 0.1, high: float = 0
     r = pairs.withColumn("r", F.col("actual") - F.col("predicted"))
     q = r.groupBy(*by).agg(F.percentile("r", low).alias("q_low"), F.percentile("r", high).alias("q_high"))
     j = r.join(q, by)
-    return j.groupBy(*by).agg(F.count("*").alias("n"), C.rounded(F.first("q_low") + 1000, 3).alias("low_1000"), C.rounded(F.first("q_high") + 1000, 3).alias("high_1000"), C.rounded(100 * F.avg(((F.col("r") >= F.col("q_low")) & (F.col("r") <= F.col("q_high"))).cast("int")), 1).alias("coverage"))
+    return j.groupBy(*by).agg(F.count("*").alias("n"), C.rounded(F.first("q_low"), 3).alias("low"), C.rounded(F.first("q_high"), 3).alias("high"), C.rounded(100 * F.avg(((F.col("r") >= F.col("q_low")) & (F.col("r") <= F.col("q_high"))).cast("int")), 1).alias("coverage"))
 
 
 def warnings(points: DataFrame) -> DataFrame:

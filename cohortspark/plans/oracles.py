@@ -1,4 +1,7 @@
-"""DuckDB SQL of the registered queries, written apart from the Spark plans."""
+"""DuckDB SQL of the registered queries, written apart from the Spark plans.
+
+Fixed values: the same published constants and borders as in ``functions/clinical.py``.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,10 @@ def r(x: str, digits: int = 0) -> str:
     return f"(floor(CAST({x} AS DOUBLE) * {10**digits}.0 + 0.5) / {10**digits}.0)"
 
 
+def signed(x: str, digits: int = 0) -> str:
+    return f"(sign({x}) * (floor(abs({x}) * {10**digits}.0 + 0.5) / {10**digits}.0) + 0.0)"
+
+
 def age(birth: str, day: str) -> str:
     return f"(year({day}) - year({birth}) - CASE WHEN month({day}) * 100 + day({day}) < month({birth}) * 100 + day({birth}) THEN 1 ELSE 0 END)"
 
@@ -60,7 +67,7 @@ _ZONE = """CASE WHEN (predicted >= 0.8 * actual AND predicted <= 1.2 * actual) O
  WHEN (actual BETWEEN 70 AND 290 AND predicted >= actual + 110) OR (actual BETWEEN 130 AND 180 AND predicted <= 1.4 * actual - 182) THEN 'C'
  WHEN ((actual >= 240 OR actual <= 175.0 / 3) AND predicted BETWEEN 70 AND 180) OR (actual BETWEEN 175.0 / 3 AND 70 AND predicted >= 1.2 * actual) THEN 'D' ELSE 'B' END"""
 POINTS = """SELECT id, now, 15 * k AS horizon, g AS glucose, g - 15 AS low, g + 15 AS high FROM (SELECT id, now, unnest([1, 2, 3, 4]) AS k, unnest([h1, h2, h3, h4]) AS g FROM
- (SELECT device_id * 100000 + row_number() OVER w AS id, mg_dl AS now, lead(mg_dl, 1) OVER w AS h1, lead(mg_dl, 2) OVER w AS h2, lead(mg_dl, 3) OVER w AS h3, lead(mg_dl, 4) OVER w AS h4 FROM glucose WHERE device_id % 10 = 3 WINDOW w AS (PARTITION BY device_id ORDER BY time)) WHERE h4 IS NOT NULL)"""
+ (SELECT device_id * 100000 + row_number() OVER w AS id, mg_dl AS now, lead(mg_dl, 1) OVER w AS h1, lead(mg_dl, 2) OVER w AS h2, lead(mg_dl, 3) OVER w AS h3, lead(mg_dl, 4) OVER w AS h4 FROM glucose WINDOW w AS (PARTITION BY device_id ORDER BY time)) WHERE h4 IS NOT NULL)"""
 
 SQL: dict[str, str] = {
     "v_glucose_daily": f"SELECT device_id, day, n, m AS mean, {r('s', 3)} AS sd, {COUNTS} FROM ({RAW})",
@@ -103,9 +110,9 @@ SQL: dict[str, str] = {
     "a_labels": LABELS,
     "a_split_chrono": """SELECT patient_id, time, segment FROM (SELECT patient_id, time, CASE WHEN s + 3600 <= a + 0.60 * (b - a) THEN 'train' WHEN s > a + 0.60 * (b - a) AND s + 3600 <= a + 0.75 * (b - a) THEN 'validation' WHEN s > a + 0.75 * (b - a) THEN 'test' END AS segment
  FROM (SELECT patient_id, time, s, min(s) OVER (PARTITION BY patient_id) AS a, max(s) OVER (PARTITION BY patient_id) AS b FROM (SELECT patient_id, time, epoch_us(time) / 1000000 AS s FROM fused))) WHERE segment IS NOT NULL""",
-    "a_metrics": f"SELECT patient_id, count(*) AS n, {r('sqrt(avg(pow(predicted - actual, 2)))', 3)} AS rmse, {r('avg(abs(predicted - actual))', 3)} AS mae, {r('100 * avg(abs(predicted - actual) / actual)', 2)} AS mard_pct, {r('avg(predicted - actual) + 1000', 3)} AS bias_1000, {r('1000 - avg(pow(predicted - actual, 2)) / nullif(var_pop(actual), 0)', 3)} AS r2_1000 FROM ({PAIRS}) GROUP BY 1",
+    "a_metrics": f"SELECT patient_id, count(*) AS n, {r('sqrt(avg(pow(predicted - actual, 2)))', 3)} AS rmse, {r('avg(abs(predicted - actual))', 3)} AS mae, {r('100 * avg(abs(predicted - actual) / actual)', 2)} AS mard_pct, {signed('avg(predicted - actual)', 3)} AS bias, {signed('(1 - avg(pow(predicted - actual, 2)) / nullif(var_pop(actual), 0))', 3)} AS r2 FROM ({PAIRS}) GROUP BY 1",
     "a_clarke": f"SELECT {_ZONE} AS zone, count(*) AS n FROM ({PAIRS}) GROUP BY 1",
-    "a_conformal": f"WITH p AS (SELECT patient_id, actual - predicted AS d FROM ({PAIRS})), q AS (SELECT patient_id, quantile_cont(d, 0.1) AS lo, quantile_cont(d, 0.9) AS hi FROM p GROUP BY 1) SELECT p.patient_id, count(*) AS n, {r('any_value(lo) + 1000', 3)} AS low_1000, {r('any_value(hi) + 1000', 3)} AS high_1000, {r('100 * avg(CAST(d >= lo AND d <= hi AS INT))', 1)} AS coverage FROM p JOIN q ON p.patient_id = q.patient_id GROUP BY 1",
+    "a_conformal": f"WITH p AS (SELECT patient_id, actual - predicted AS d FROM ({PAIRS})), q AS (SELECT patient_id, quantile_cont(d, 0.1) AS lo, quantile_cont(d, 0.9) AS hi FROM p GROUP BY 1) SELECT p.patient_id, count(*) AS n, {signed('any_value(lo)', 3)} AS low, {signed('any_value(hi)', 3)} AS high, {r('100 * avg(CAST(d >= lo AND d <= hi AS INT))', 1)} AS coverage FROM p JOIN q ON p.patient_id = q.patient_id GROUP BY 1",
     "a_regimen_episodes": "SELECT patient_id, medication_id, min(started_at) AS started_at, (list(struct_pack(e := ended_at) ORDER BY started_at DESC, l_orderkey DESC, l_linenumber DESC, ended_at DESC NULLS LAST))[1].e AS ended_at, count(*) AS orders FROM regimen GROUP BY 1, 2",
     "a_warnings": f"""WITH p AS ({POINTS}), q AS (SELECT *, coalesce(lag(glucose) OVER (PARTITION BY id ORDER BY horizon), now) AS pv, coalesce(lag(horizon) OVER (PARTITION BY id ORDER BY horizon), 0) AS pt FROM p),
  k AS (SELECT id, horizon, CASE WHEN glucose < 54 THEN 'very_low' ELSE 'very_high' END AS kind, 0 AS severity FROM q WHERE glucose < 54 OR glucose > 250 UNION ALL SELECT id, horizon, CASE WHEN glucose < 70 THEN 'low' ELSE 'high' END, 1 FROM q WHERE (glucose >= 54 AND glucose < 70) OR (glucose > 180 AND glucose <= 250)
