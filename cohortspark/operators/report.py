@@ -97,31 +97,37 @@ def observation_latest(t: Tables) -> DataFrame:
     return t["observation"].withColumn("rn", F.row_number().over(w)).where("rn = 1").select("patient_id", "analyte", "value", "effective_at", "is_synthetic")
 
 
-ANALYTES = {"hba1c": "hba1c", "glucose_fasting": "fasting_glucose", "insulin": "insulin", "cholesterol_total": "total_cholesterol", "hdl": "hdl", "triglycerides": "triglycerides", "creatinine": "creatinine", "weight": "weight_kg", "height": "height_cm"}
+ANALYTES = {"hba1c": "hba1c", "glucose_fasting": "fasting_glucose", "insulin": "insulin", "cholesterol_total": "total_cholesterol", "hdl": "hdl", "triglycerides": "triglycerides", "ldl": "ldl_measured", "creatinine": "creatinine", "weight": "weight_kg", "height": "height_cm"}
 
 
 def patient_baseline(t: Tables) -> DataFrame:
-    """One row a patient: the latest analytes side by side, and what follows from them."""
+    """One row a patient: the latest analytes side by side, and what follows from them.
+
+    LDL is the real measured one, else Friedewald's of real inputs, else any measured one, else any of Friedewald; it
+    counts as synthetic unless one of the first two is there. The kidneys' filtration is rounded half to even.
+    """
     o = observation_latest(t)
     pivot = [F.max(F.when(F.col("analyte") == a, F.col("value"))).alias(c) for a, c in ANALYTES.items()]
     wide = o.groupBy("patient_id").agg(
         *pivot,
+        F.max("effective_at").alias("effective_at"),
         F.max(F.when(F.col("analyte") == "creatinine", F.col("effective_at"))).alias("creatinine_at"),
         F.sort_array(F.collect_list(F.when(F.col("is_synthetic"), F.col("analyte")))).alias("made_up"),
     )
     p = wide.join(t["patient"].select("patient_id", "sex", "birth_date"), "patient_id")
     made = F.col("made_up")
-    tc, hdl, tg = F.col("total_cholesterol"), F.col("hdl"), F.col("triglycerides")
+    tc, hdl, tg, measured = F.col("total_cholesterol"), F.col("hdl"), F.col("triglycerides"), F.col("ldl_measured")
     overlap = lambda *a: F.arrays_overlap(made, F.array(*map(F.lit, a)))
-    low = C.friedewald(tc, hdl, tg)
+    worked = C.rounded(C.friedewald(tc, hdl, tg))
+    real = F.coalesce(F.when(~overlap("ldl"), measured), F.when(~overlap("cholesterol_total", "hdl", "triglycerides"), worked))
     years = C.age_at(F.col("birth_date"), F.to_date("creatinine_at"))
     return p.select(
-        "patient_id", *ANALYTES.values(),
+        "patient_id", *ANALYTES.values(), "effective_at",
         C.rounded(F.col("weight_kg") / F.pow(F.col("height_cm") / 100, 2), 1).alias("bmi"), overlap("weight", "height").alias("bmi_is_synthetic"),
         (tc - hdl).alias("non_hdl"), C.rounded(tc / F.nullif(hdl, F.lit(0.0)), 2).alias("tc_hdl_ratio"), C.rounded(F.when(tg <= 400, tg / 5)).alias("vldl"),
-        C.rounded(low).alias("ldl"), (low.isNull() | overlap("cholesterol_total", "hdl", "triglycerides")).alias("ldl_is_synthetic"),
-        C.rounded(C.homa_ir(F.col("fasting_glucose"), F.col("insulin")), 2).alias("homa_ir"),
-        C.rounded(C.egfr(F.col("creatinine"), years, F.col("sex") == "female")).alias("egfr"),
+        worked.alias("friedewald"), F.coalesce(real, measured, worked).alias("ldl"), real.isNull().alias("ldl_is_synthetic"),
+        C.rounded(C.homa_ir(F.col("fasting_glucose"), F.col("insulin")), 2).alias("homa_ir"), overlap("glucose_fasting", "insulin").alias("homa_ir_is_synthetic"),
+        F.rint(C.egfr(F.col("creatinine"), years, F.col("sex") == "female")).alias("egfr"), overlap("creatinine").alias("egfr_is_synthetic"),
         C.a1c_group(F.col("hba1c")).alias("cohort"), F.array_join(made, ",").alias("synthetic_analytes"),
     )
 
@@ -169,8 +175,9 @@ def activity_daily(t: Tables) -> DataFrame:
     d = wearable_daily(t).join(t["device"].where("not is_live"), "device_id")
     m = lambda name, col, digits=1: C.rounded(F.max(F.when(F.col("metric") == name, F.col(col))), digits)
     return d.groupBy("patient_id", "day").agg(
-        m("steps", "total", 0).alias("steps"), m("heart_rate", "mean").alias("hr_mean"), m("heart_rate", "low", 0).alias("hr_min"), m("heart_rate", "high", 0).alias("hr_max"),
-        F.max(F.when(F.col("metric") == "heart_rate", F.col("n"))).alias("hr_minutes"), m("mets", "total").alias("met_minutes"), m("spo2", "mean").alias("spo2_mean"),
+        m("steps", "total", 0).alias("steps"), m("wear_minutes", "total", 0).alias("wear_minutes"), m("heart_rate", "mean").alias("hr_mean"), m("heart_rate", "low", 0).alias("hr_min"), m("heart_rate", "high", 0).alias("hr_max"),
+        F.max(F.when(F.col("metric") == "heart_rate", F.col("n"))).alias("hr_minutes"), m("mets", "total").alias("met_minutes"), m("active_kcal", "total").alias("active_kcal"), m("activity_level", "mean", 2).alias("activity_level_mean"),
+        m("spo2", "mean").alias("spo2_mean"), m("respiration_rate", "mean").alias("respiration_mean"), m("stress", "mean").alias("stress_mean"), m("skin_temp", "mean", 2).alias("skin_temp_mean"), m("eda", "mean", 3).alias("eda_mean"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("is_synthetic"), F.col("metric")))), ",").alias("synthetic_metrics"),
     )
 

@@ -37,18 +37,26 @@ def _pick(a: str, c: str) -> str:
     return f"max(value) FILTER (analyte = '{a}') AS {c}"
 
 
-NAMES = {"hba1c": "hba1c", "glucose_fasting": "fasting_glucose", "insulin": "insulin", "cholesterol_total": "total_cholesterol", "hdl": "hdl", "triglycerides": "triglycerides", "creatinine": "creatinine", "weight": "weight_kg", "height": "height_cm"}
+NAMES = {"hba1c": "hba1c", "glucose_fasting": "fasting_glucose", "insulin": "insulin", "cholesterol_total": "total_cholesterol", "hdl": "hdl", "triglycerides": "triglycerides", "ldl": "ldl_measured", "creatinine": "creatinine", "weight": "weight_kg", "height": "height_cm"}
 _K, _A, _S = "CASE WHEN sex = 'female' THEN 0.7 ELSE 0.9 END", "CASE WHEN sex = 'female' THEN -0.241 ELSE -0.302 END", "CASE WHEN sex = 'female' THEN 1.012 ELSE 1.0 END"
-BASELINE = f"""SELECT patient_id, {', '.join(NAMES.values())}, {r('weight_kg / pow(height_cm / 100, 2)', 1)} AS bmi, list_has_any(made, ['weight', 'height']) AS bmi_is_synthetic,
- total_cholesterol - hdl AS non_hdl, {r('total_cholesterol / nullif(hdl, 0)', 2)} AS tc_hdl_ratio, {r('CASE WHEN triglycerides <= 400 THEN triglycerides / 5 END')} AS vldl,
- {r('CASE WHEN triglycerides <= 400 THEN total_cholesterol - hdl - triglycerides / 5 END')} AS ldl,
- (CASE WHEN triglycerides <= 400 THEN total_cholesterol - hdl - triglycerides / 5 END IS NULL OR list_has_any(made, ['cholesterol_total', 'hdl', 'triglycerides'])) AS ldl_is_synthetic,
- {r('fasting_glucose * insulin / 405', 2)} AS homa_ir,
- {r(f"142 * pow(least(creatinine / {_K}, 1.0), {_A}) * pow(greatest(creatinine / {_K}, 1.0), -1.2) * pow(0.9938, {age('birth_date', 'CAST(cr_at AS DATE)')}) * {_S}".replace(f"creatinine / {_K}", f"creatinine / ({_K})"))} AS egfr,
+_FRIED = r("CASE WHEN triglycerides <= 400 THEN total_cholesterol - hdl - triglycerides / 5 END")
+_REAL = f"coalesce(CASE WHEN NOT list_contains(made, 'ldl') THEN ldl_measured END, CASE WHEN NOT list_has_any(made, ['cholesterol_total', 'hdl', 'triglycerides']) THEN {_FRIED} END)"
+_EGFR = f"142 * pow(least(creatinine / ({_K}), 1.0), {_A}) * pow(greatest(creatinine / ({_K}), 1.0), -1.2) * pow(0.9938, {age('birth_date', 'CAST(cr_at AS DATE)')}) * {_S}"
+BASELINE = f"""SELECT patient_id, {', '.join(NAMES.values())}, effective_at, {r('weight_kg / pow(height_cm / 100, 2)', 1)} AS bmi, list_has_any(made, ['weight', 'height']) AS bmi_is_synthetic,
+ total_cholesterol - hdl AS non_hdl, {r('total_cholesterol / nullif(hdl, 0)', 2)} AS tc_hdl_ratio, {r('CASE WHEN triglycerides <= 400 THEN triglycerides / 5 END')} AS vldl, {_FRIED} AS friedewald, coalesce({_REAL}, ldl_measured, {_FRIED}) AS ldl, {_REAL} IS NULL AS ldl_is_synthetic,
+ {r('fasting_glucose * insulin / 405', 2)} AS homa_ir, list_has_any(made, ['glucose_fasting', 'insulin']) AS homa_ir_is_synthetic, round_even({_EGFR}, 0) AS egfr, list_contains(made, 'creatinine') AS egfr_is_synthetic,
  CASE WHEN hba1c < 5.7 THEN 'normal' WHEN hba1c < 6.5 THEN 'prediabetes' WHEN hba1c IS NOT NULL THEN 't2d' END AS cohort, array_to_string(made, ',') AS synthetic_analytes
- FROM (SELECT patient_id, {', '.join(_pick(a, c) for a, c in NAMES.items())}, max(effective_at) FILTER (analyte = 'creatinine') AS cr_at, coalesce(list(analyte ORDER BY analyte) FILTER (is_synthetic), []) AS made FROM ({LATEST}) GROUP BY 1) JOIN patient USING (patient_id)"""
+ FROM (SELECT patient_id, {', '.join(_pick(a, c) for a, c in NAMES.items())}, max(effective_at) AS effective_at, max(effective_at) FILTER (analyte = 'creatinine') AS cr_at, coalesce(list(analyte ORDER BY analyte) FILTER (is_synthetic), []) AS made FROM ({LATEST}) GROUP BY 1) JOIN patient USING (patient_id)"""
+
+
+def _day(metric: str, column: str, digits: int, name: str) -> str:
+    value = f"max({column}) FILTER (metric = '{metric}')"
+    return f"{r(value, digits)} AS {name}"
+
+
+_MORE = [("wear_minutes", "total", 0, "wear_minutes"), ("active_kcal", "total", 1, "active_kcal"), ("activity_level", "mean", 2, "activity_level_mean"), ("respiration_rate", "mean", 1, "respiration_mean"), ("stress", "mean", 1, "stress_mean"), ("skin_temp", "mean", 2, "skin_temp_mean"), ("eda", "mean", 3, "eda_mean")]
 ACTIVITY = f"""SELECT patient_id, day, {r("max(total) FILTER (metric = 'steps')")} AS steps, {r("max(mean) FILTER (metric = 'heart_rate')", 1)} AS hr_mean, {r("max(low) FILTER (metric = 'heart_rate')")} AS hr_min,
- {r("max(high) FILTER (metric = 'heart_rate')")} AS hr_max, max(n) FILTER (metric = 'heart_rate') AS hr_minutes, {r("max(total) FILTER (metric = 'mets')", 1)} AS met_minutes, {r("max(mean) FILTER (metric = 'spo2')", 1)} AS spo2_mean,
+ {r("max(high) FILTER (metric = 'heart_rate')")} AS hr_max, max(n) FILTER (metric = 'heart_rate') AS hr_minutes, {r("max(total) FILTER (metric = 'mets')", 1)} AS met_minutes, {r("max(mean) FILTER (metric = 'spo2')", 1)} AS spo2_mean, {', '.join(_day(*m) for m in _MORE)},
  coalesce(string_agg(DISTINCT metric, ',' ORDER BY metric) FILTER (is_synthetic), '') AS synthetic_metrics FROM ({WEAR}) JOIN device USING (device_id) WHERE NOT is_live GROUP BY 1, 2"""
 _MIN = "(epoch_us(end_time) - epoch_us(start_time)) / 1000000 / 60"
 
