@@ -14,7 +14,7 @@ from cohortspark.llm import textops as T
 
 #: Bits of a sketch for each difference that two sets within the threshold may have, at least; sketches of unlike sets
 #: differ in almost half of them, so this many rule them out.
-BITS = 4
+BITS = 8
 CHUNK = 1000
 
 
