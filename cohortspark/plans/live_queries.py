@@ -9,7 +9,10 @@ from cohortspark.streaming import state as S
 from pyspark.sql import functions as F
 
 NOW = "2024-03-09 04:00:00"
-_AT = F.lit(NOW).cast("timestamp_ntz")
+
+
+def _at():
+    return F.lit(NOW).cast("timestamp_ntz")
 
 
 def _raw(t):
@@ -52,15 +55,15 @@ PLANS: dict[str, Callable] = {
     "s_check": lambda t: _checked(t).select("index", "reason"),
     "s_counts": lambda t: I.counts(*_hours(t)),
     "s_batch_order": lambda t: t["reading"].select("patient_id", "ordinal", "metric", F.row_number().over(S.Window.partitionBy("patient_id").orderBy("time", F.col("metric") != "sleep", "metric")).alias("place")),
-    "s_reduce": lambda t: S.snapshot(t["reading"], _AT),
+    "s_reduce": lambda t: S.snapshot(t["reading"], _at()),
     "s_late": lambda t: S.latest(t["reading"]),
     "s_trend": lambda t: S.trend(t["reading"]),
     "s_steps_today": lambda t: S.steps_today(t["reading"]),
     "s_sleep_until": lambda t: S.asleep(t["reading"]),
-    "s_stale": lambda t: S.stale(S.latest(t["reading"]), _AT).select("patient_id", "signal", "status"),
-    "s_delta": lambda t: S.delta(S.snapshot(t["reading"].where(F.col("time") < _AT), _AT).select("patient_id", "heart_rate_status", "stage"), S.snapshot(t["reading"], _AT).select("patient_id", "heart_rate_status", "stage")),
+    "s_stale": lambda t: S.stale(S.latest(t["reading"]), _at()).select("patient_id", "signal", "status"),
+    "s_delta": lambda t: S.delta(S.snapshot(t["reading"].where(F.col("time") < _at()), _at()).select("patient_id", "heart_rate_status", "stage"), S.snapshot(t["reading"], _at()).select("patient_id", "heart_rate_status", "stage")),
     "s_transitions": lambda t: S.transitions(t["reading"]),
-    "s_tick": lambda t: S.activity_of_stream(t["reading"].groupBy("patient_id").agg((F.max("time") - F.expr("interval 150 minutes")).alias("seen")), _AT),
+    "s_tick": lambda t: S.activity_of_stream(t["reading"].groupBy("patient_id").agg((F.max("time") - F.expr("interval 150 minutes")).alias("seen")), _at()),
     "s_series_cutover": lambda t: S.cutover(t["grid"].select("patient_id", F.col("time") + F.expr("interval 68 days"), F.col("mg_dl").alias("value")).toDF("patient_id", "time", "value"), _live(t)),
     "p_ms_loader": lambda t: S.rebuilt(t["reading"]).select("patient_id", "metric", "time", "ordinal"),
 }

@@ -20,3 +20,13 @@ def test_name_based_ids(spark):
     got = registry.queries()["op_uuid5"](spark, SF).collect()
     space = uuid.UUID(blocks.NAMESPACE)
     assert got and all(r.id == str(uuid.uuid5(space, f"patient/{r.c_custkey}")) for r in got)
+
+
+def test_the_entry_module_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
