@@ -137,8 +137,10 @@ def patient_summary(t: Tables, as_of: str) -> DataFrame:
 
 
 def drug_classes(t: Tables) -> DataFrame:
-    """The least class whose prefix a concept's brand starts with."""
-    return t["concept"].join(t["drug_class"], F.col("brand").startswith(F.col("prefix"))).groupBy("concept_id").agg(F.min("prefix").alias("drug_class"))
+    """The least class whose prefix a concept's brand starts with: every start of a brand meets the prefixes by equality."""
+    starts = F.transform(F.sequence(F.lit(1), F.length("brand")), lambda i: F.substring("brand", F.lit(1), i))
+    c = t["concept"].where("brand <> ''").select("concept_id", F.explode(starts).alias("prefix"))
+    return c.join(t["drug_class"], "prefix").groupBy("concept_id").agg(F.min("prefix").alias("drug_class"))
 
 
 def medication_regimen(t: Tables) -> DataFrame:
@@ -196,11 +198,12 @@ def sleep_nightly(t: Tables) -> DataFrame:
 def spo2_nightly(t: Tables) -> DataFrame:
     """Saturation in sleep. A drop is three points below the greatest of the five samples before; drops in a row are one event.
 
-    The sample-in-segment join has the device as its equal part and half-open times.
+    Samples and segments, half-open, meet by device and hour: a segment is dealt to each of its hours.
     """
-    w = t["wearable"].where("metric = 'spo2'").alias("w")
-    s = t["sleep"].where("stage <> 'awake'").alias("s")
-    j = w.join(s, F.expr("w.device_id = s.device_id and w.time >= s.start_time and w.time < s.end_time")).select("w.device_id", "w.time", "w.value", C.night_of(F.col("s.start_time")).alias("night"))
+    hour = lambda c: F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:00:00"))
+    w = t["wearable"].where("metric = 'spo2'").select("device_id", "time", "value", hour("time").alias("hour"))
+    s = t["sleep"].where("stage <> 'awake'").select("device_id", "start_time", "end_time", F.explode(F.sequence(hour("start_time"), hour("end_time"), F.expr("interval 1 hour"))).alias("hour"))
+    j = w.join(s, ["device_id", "hour"]).where((F.col("time") >= F.col("start_time")) & (F.col("time") < F.col("end_time"))).select("device_id", "time", "value", C.night_of(F.col("start_time")).alias("night"))
     j = j.join(t["device"].where("not is_live"), "device_id")
     order = Window.partitionBy("patient_id", "night").orderBy("time", "value")
     j = j.withColumn("dropped", F.col("value") <= F.max("value").over(order.rowsBetween(-5, -1)) - 3)
@@ -242,7 +245,7 @@ def replay_stream(t: Tables) -> DataFrame:
     return g.unionByName(w).unionByName(s)
 
 
-def twin_latest(t: Tables, now: str) -> DataFrame:
+def latest_of_each(t: Tables, now: str) -> DataFrame:
     """The latest value of each patient and metric: live ones win, others count up to ``now``."""
     at = F.lit(now).cast("timestamp_ntz")
     live_cgm = t["glucose"].join(t["device"].where("is_live"), "device_id").select("patient_id", F.lit("glucose").alias("metric"), "time", F.col("mg_dl").cast("double").alias("value"), F.lit(True).alias("is_live"))

@@ -50,7 +50,7 @@ PLANS: dict[str, Callable] = {
     "v_consistency": R.consistency,
     "v_sensor_window": R.sensor_window,
     "v_replay_stream": R.replay_stream,
-    "v_twin_latest": lambda t: R.twin_latest(t, NOW),
+    "v_twin_latest": lambda t: R.latest_of_each(t, NOW),
     "v_patient_split": lambda t: t["patient"].select("patient_id", C.split_of(F.col("patient_id")).alias("split")),
     "v_patient_static": A.patient_static,
     "v_patient_day": A.patient_day,
