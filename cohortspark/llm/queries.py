@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import capfilter, decontaminate, htmltext, jaccard, langid, licenses, mixing_query, periodic, quality, shards, substrings
+from cohortspark.llm import capfilter, decontaminate, htmltext, jaccard, langid, licenses, mixing_query, periodic, quality, shards, substrings, yinyang
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,12 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.clusters(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op4_licenses, op5_vectors, op6_jaccard, op7_language, op8_substrings, op9_html, op10_quality, op12_runs)
+    f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op4_licenses, op5_vectors, op6_jaccard, op7_language, op8_substrings, op9_html, op10_quality, op12_runs, op13_centroids)
 }
 
 # Plain SQL over all pairs of shingled documents; each document is joined with the others on its shingles.
@@ -81,4 +85,4 @@ c AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1), k AS (SELECT x,
 SELECT v.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c ON c.node = v.vec_id LEFT JOIN k ON k.x = v.vec_id
 """
 
-ORACLE: dict[str, str] = {"op1_mix": mixing_query.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op5_vectors": VECTORS_SQL, "op6_jaccard": JACCARD_SQL, "op12_runs": periodic.ORACLE}
+ORACLE: dict[str, str] = {"op1_mix": mixing_query.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op5_vectors": VECTORS_SQL, "op6_jaccard": JACCARD_SQL, "op12_runs": periodic.ORACLE, "op13_centroids": yinyang.ORACLE}
