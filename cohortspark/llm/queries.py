@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import capfilter, decontaminate, htmltext, jaccard, langid, licenses, mixing_query, periodic, quality, shards, substrings, yinyang
+from cohortspark.llm import capfilter, decontaminate, htmltext, jaccard, langid, licenses, mixing_query, periodic, quality, secrets, shards, substrings, yinyang
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(_table(spark, sf_dir, "documents"))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op4_licenses, op5_vectors, op6_jaccard, op7_language, op8_substrings, op9_html, op10_quality, op12_runs, op13_centroids)
+    f.__name__: f for f in (op1_mix, op2_shard, op3_decontaminate, op4_licenses, op5_vectors, op6_jaccard, op7_language, op8_substrings, op9_html, op10_quality, op11_secrets, op12_runs, op13_centroids)
 }
 
 # Plain SQL over all pairs of shingled documents; each document is joined with the others on its shingles.
