@@ -325,7 +325,7 @@ def _joined(spans: Column) -> Column:
 def digests(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Counts of the plain kinds, a digest of their spans, and all spans as text, for every document."""
     found = secret_spans(docs, threshold)
-    of = {k: F.filter("spans", lambda s, k=k: s["kind"] == k) for k in KINDS[:3]}
+    of = {k: F.expr(f"filter(spans, s -> s.kind = '{k}')") for k in KINDS[:3]}
     plain = F.filter("spans", lambda s: s["kind"] != KINDS[3])
     counts = [F.size(of[k]).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(_joined(plain), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

@@ -75,10 +75,10 @@ def test_base_by_plain_loops():
 
 
 def test_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r for r in secrets.digests(docs).collect()}
     texts = dict(docs.select("doc_id", "text").collect())
-    assert len(got) == len(texts)
+    assert len(got) == len(texts) and sum(r.n_assign for r in got.values()) > 5 and sum(r.n_hex for r in got.values()) > 5
     order = {k: i for i, k in enumerate(secrets.KINDS)}
     for i, text in texts.items():
         base = sorted(secrets.base(text or ""), key=lambda s: (s[0], order[s[2]]))
