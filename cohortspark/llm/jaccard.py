@@ -35,7 +35,7 @@ def allocate(high: int, members: float, num: int, den: int) -> tuple[int, int]:
         segments = used + max(1, used // 16) if used > 1 else 1
         fill = 0.75 * high / segments
         rows = (used - ones) + ones * (1 + fill)
-        met = members * ((used - ones) * SHARE**fill + ones * fill * SHARE ** max(fill - 1, 0))
+        met = members * ((used - ones) * SHARE**fill + ones * fill * SHARE ** max(fill - 1, 1))
         best = min(best, (rows + met, segments, ones))
     return best[1], best[2]
 
@@ -71,7 +71,7 @@ def _keys(elements: np.ndarray, members: tuple, num: int, den: int) -> np.ndarra
             label = T.mix(np.arange(used, dtype=T.U) + T.U((band << 40) + (seed << 34)))
             take = size[:used] > 0 if enough or seed < RESEEDS else np.ones(used, bool)
             out.append(T.mix(total[:used][take] ^ label[take]))
-            near = (seg < min(ones, used)) if ones else np.zeros(0, bool)
+            near = (seg < min(ones, used)) & (size[seg] > 1)  # a lone shingle's neighbour would be the empty segment, met by strangers
             if near.any():
                 out.append(T.mix((total[seg[near]] - value[near]) ^ label[seg[near]]))
             if enough:
@@ -137,13 +137,14 @@ def meetings(num: int, den: int, least: int = LEAST, miss: float = MISS) -> int:
     return t
 
 
-def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", owner: str = "") -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", owner: str = "", miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: classes of texts linked by Jaccard >= num/den of k-word shingles.
 
     Words are runs without white space, A-Z lower-cased; a text of fewer than ``k`` words is one shingle, and one
     without words or null has an empty set and links with nothing. Shingles are 64-bit hashes. Equal sets are one
     node. Sets of which hardly any of the ``LEAST`` smallest hashes are met elsewhere are left out first (see
-    ``meetings``), so most texts that are like no other never cost more than that. Hashed shingles of the rest fall
+    ``meetings``), so most texts that are like no other never cost more than that; ``miss``, the chance that this hides
+    a link, may be 0, and then no set is left out. Hashed shingles of the rest fall
     into segments by size band; sets within the threshold differ in fewer shingles than the segments can absorb, so
     they share a segment's signature (or, in one-deletion segments, one less a shingle). Per signature all nodes are
     first compared with the smallest one; where that leaves a signature's nodes in several components, the pairs
@@ -151,21 +152,21 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
     Duplicate ids take part row by row; rows with a null id link others and get the smallest id of their component,
     null if it has none. Extra columns are ignored. An empty table gives no rows.
     """
-    placed = jaccard_members(docs, k, num, den, id_col, text_col, owner)
+    placed = jaccard_members(docs, k, num, den, id_col, text_col, owner, miss)
     least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     least = scratch.written(least, "least", owner)  # so that Spark sees two shuffles and can split a hot class
     full = placed.where("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", "component_id")
     return full.union(placed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def jaccard_members(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", owner: str = "") -> DataFrame:
+def jaccard_members(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text", owner: str = "", miss: float = MISS) -> DataFrame:
     """(doc_id, text_hash, n_shingles, root) of every row: ``root`` is one in each class of ``jaccard_classes``.
 
     Rows of one text are in one class, so id and text hash (xxhash64) name a row where ids repeat with other texts.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     table = scratch.written(docs.mapInArrow(_sets(k, LEAST), "doc_id long, text_hash long, n_shingles long, node long, least array<long>"), "sets", owner)
-    near = _candidates(table.where("least is not null"), num, den, owner)
+    near = _candidates(table.where("least is not null"), num, den, owner, miss)
     sizes = near.groupBy(F.floor(F.log2("n")).cast("int").alias("band")).count()
     members = tuple(sorted((r["band"], float(r["count"])) for r in sizes.collect()))  # at most 32 rows
 
@@ -184,9 +185,9 @@ def jaccard_members(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id
     return rows.join(roots, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("root"))
 
 
-def _candidates(sets: DataFrame, num: int, den: int, owner: str) -> DataFrame:
+def _candidates(sets: DataFrame, num: int, den: int, owner: str, miss: float) -> DataFrame:
     """(node, n) of the sets that may have a link, by how many of their smallest hashes other sets have too."""
-    if not (some := meetings(num, den)):  # at low thresholds they tell nothing
+    if not (some := meetings(num, den, miss=miss)):  # at low thresholds they tell nothing
         return scratch.written(sets.select("node", F.col("n_shingles").alias("n")).distinct(), "near", owner)
     keys = sets.select("node", F.col("n_shingles").alias("n"), F.explode("least").alias("key"))
     ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")

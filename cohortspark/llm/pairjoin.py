@@ -66,15 +66,23 @@ def _pruned(num: int, den: int):
 def _across(num: int, den: int, nearest: bool):
     """A task over blocks of nodes that share a key: pairs of different components that nothing rules out.
 
-    With ``nearest`` only the pair of each node whose sketches differ least.
+    With ``nearest`` only the pair of each node whose sketches differ least. A pair comes out under the first of the
+    keys that both nodes have, so once, however many these are.
     """
 
+    def lesser(t: pa.Table, at: int, key: int, known: dict[int, set[int]]) -> set[int]:
+        if at not in known:
+            own = t.column("held")[at].values.to_numpy()
+            known[at] = set(own[own < key].tolist())
+        return known[at]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, keys, cut in blocks.runs(batches, ["key", "lo", "hi"]):
             node, root, n, chunk = (t.column(c).to_numpy() for c in ("node", "root", "n", "c"))
             marks = t.column("sketch").to_pylist()
             for i, j in zip(cut[:-1], cut[1:]):
-                lo, hi = keys[1, i], keys[2, i]
+                key, lo, hi = keys[:, i]
+                known: dict[int, set[int]] = {}
                 length = np.array([len(m) // 8 for m in marks[i:j]])
                 ids, r, size, own = node[i:j], root[i:j], n[i:j], chunk[i:j]
                 for small in np.unique(length):
@@ -96,8 +104,14 @@ def _across(num: int, den: int, nearest: bool):
                             q = np.where(ok, differ, 1 << 40)[p].argmin(axis=1)
                         else:
                             p, q = np.nonzero(ok)
+                        p, q = row[p], at[q]
+                        if not nearest:  # both ways round are looked at where sketches are of one length
+                            one = (length[q] != small) | (ids[p] > ids[q])
+                            p, q = p[one], q[one]
+                        once = [lesser(t, i + a, key, known).isdisjoint(lesser(t, i + b, key, known)) for a, b in zip(p, q)]
+                        p, q = p[once], q[once]
                         if len(p):
-                            u, v = ids[row[p]], ids[at[q]]
+                            u, v = ids[p], ids[q]
                             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["a", "b"])
 
     return run
@@ -164,12 +178,13 @@ def classes(shared: DataFrame, marks: DataFrame, check: Callable[[DataFrame], Da
         several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         mixed = scratch.written(named.join(several, "key", "left_semi"), "mixed", owner)
         scratch.forget(named)
-        spread = blocks.dealt(mixed.join(marks, "node"), ["key"], "node", CHUNK)
-        more = spread.select("key", "lo", "hi", "c", "node", "root", "n", "sketch").mapInArrow(_across(num, den, nearest), "a long, b long").distinct()
+        held = scratch.written(mixed.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("held")), "held", owner)  # the keys of one set
+        spread = blocks.dealt(mixed.join(marks, "node").join(held, "node"), ["key"], "node", CHUNK)
+        more = spread.select("key", "lo", "hi", "c", "node", "root", "n", "sketch", "held").mapInArrow(_across(num, den, nearest), "a long, b long").distinct()
         more = scratch.written(more.join(tested, ["a", "b"], "left_anti"), "more", owner)
         again = scratch.written(check(more), "links", owner)
         tested, links = tested.union(more), links.union(again)
-        scratch.forget(mixed)
+        scratch.forget(mixed, held)
         if again.limit(1).count():
             roots = scratch.written(graph.components(links, owner=owner), "roots", owner)
     return roots
