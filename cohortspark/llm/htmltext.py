@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -28,6 +28,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 CONTAINERS = frozenset("article body center div html main section td".split())
 # What an open element of the key is closed by when it meets such a start tag.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements that wall off the siblings of others.
+HOLDERS = ("ul", "ol", "dl", "table", "select", "tbody", "thead")
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
 #: Evidence that an element is no part of the article.
@@ -55,6 +57,9 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # element, its number, whether text in it is left out
+        self.where: dict[str, list[int]] = {}  # places in the stack of the open elements of each name
+        self.around: list[int] = []  # places in the stack of open blocks
+        self.sections = True  # whether a CDATA section may end in what is still to come
         self.parent: list[int] = [-1]
         self.kind: list[str] = ["#root"]
         self.evidence: list[int] = [NONE]
@@ -74,7 +79,7 @@ class _Blocks(HTMLParser):
     def _marked(self, tag: str, attrs: list) -> int:
         if tag in NEVER:
             return HIDDEN
-        inside = any(x[0] in CONTENT for x in self.stack)
+        inside = any(self.where.get(c) for c in CONTENT)
         found = STRONG if tag in BESIDE or (tag == "header" and not inside) else NONE
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -87,25 +92,28 @@ class _Blocks(HTMLParser):
                 found = max(found, _named(value))
         return found
 
+    def _last(self, names: Iterable[str]) -> int:
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=-1)
+
     def _pop(self, at: int) -> None:
-        for tag, _, out in self.stack[at:]:
+        for tag, _, out in reversed(self.stack[at:]):
             self.out -= out
             self.links -= tag == "a"
+            self.where[tag].pop()
+            if tag in BLOCKS:
+                self.around.pop()
         del self.stack[at:]
 
     def _implied(self, tag: str) -> None:
+        """End what a start tag ends by itself: a paragraph with no block in it, or the sibling of the same list or table."""
         if tag in CLOSES_P:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == "p":
-                    return self._pop(i)
-                if self.stack[i][0] in BLOCKS:
-                    return
+            at, wall = self._last(["p"]), self.around[-1] if self.around else -1
         elif tag in SIBLINGS:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] in SIBLINGS[tag]:
-                    return self._pop(i)
-                if self.stack[i][0] in ("ul", "ol", "dl", "table", "select", "tbody", "thead") and tag != "tr" or self.stack[i][0] == "table":
-                    return
+            at, wall = self._last(SIBLINGS[tag]), self._last(["table"] if tag == "tr" else HOLDERS)
+        else:
+            return
+        if at >= 0 and at >= wall:
+            self._pop(at)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -121,6 +129,9 @@ class _Blocks(HTMLParser):
             self.parent.append(self.stack[-1][1] if self.stack else 0)
             self.kind.append(tag)
             self.evidence.append(evidence)
+            self.where.setdefault(tag, []).append(len(self.stack))
+            if tag in BLOCKS:
+                self.around.append(len(self.stack))
             self.stack.append((tag, len(self.kind) - 1, evidence == HIDDEN))
             self.out += evidence == HIDDEN
             self.links += tag == "a"
@@ -134,17 +145,17 @@ class _Blocks(HTMLParser):
         if tag in BLOCKS:
             self._cut()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if self.stack[i][2]:
-                    self.parts = []
-                elif self.evidence[self.stack[i][1]]:
-                    self._cut()
-                return self._pop(i)
+        if (at := self._last([tag])) >= 0:
+            if self.stack[at][2]:
+                self.parts = []
+            elif self.evidence[self.stack[at][1]]:
+                self._cut()
+            self._pop(at)
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """A CDATA section ends with its own mark, any other at the next ">", as in browsers; none stops the parser."""
-        if self.rawdata[i : i + 9].upper() == "<![CDATA[" and "]]>" in self.rawdata[i:]:
+        self.sections = self.sections and self.rawdata.find("]]>", i) >= 0
+        if self.sections and self.rawdata[i : i + 9].upper() == "<![CDATA[":
             return super().parse_marked_section(i, report)
         return self.parse_bogus_comment(i, 0)
 
@@ -196,6 +207,14 @@ def _excluded(p: _Blocks, free: np.ndarray, ratio: np.ndarray, high: np.ndarray)
     return out
 
 
+def _closable(html: str) -> str:
+    """``html`` with marks that nothing after them can close as text, which is what the parser makes of them one by one."""
+    tail = html.rfind(">") + 1
+    html = html[:tail] + html[tail:].replace("<", "&lt;")
+    tail = max(html.rfind("-->"), html.rfind("--!>"), 0)
+    return html[:tail] + html[tail:].replace("<!--", "&lt;!--")
+
+
 def extract(html: str | None, sigma: float = 1.0) -> str:
     """The article's text: blocks in page order, joined by one space; empty for null.
 
@@ -209,7 +228,7 @@ def extract(html: str | None, sigma: float = 1.0) -> str:
     if not html:
         return ""
     p = _Blocks()
-    p.feed(html)
+    p.feed(_closable(html))
     p.close()
     p._cut()
     if not p.blocks:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from cohortspark.llm import htmltext
@@ -40,3 +42,20 @@ def test_edges():
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars int")
     assert htmltext.main_text(none).count() == 0
+
+
+def test_time_grows_with_the_number_of_tags():
+    for unit in ("<b>x</i>", "<div>x</span>", "<b>y<p>x", "<!-- x", "</", "<a ", "<![CDATA[ x", "<article><header>x"):
+        took = []
+        for n in (5000, 20000):
+            began = time.time()
+            htmltext.extract(unit * n)
+            took.append(time.time() - began)
+        assert took[1] < 8 * took[0] + 0.5, unit
+    began = time.time()
+    htmltext.extract("<div>" * 50000 + "<li>x</li>" * 150000)
+    assert time.time() - began < 30
+
+
+def test_marks_that_nothing_closes_are_text():
+    assert htmltext.extract("<p>aaa</p><!-- x <p>b</p> <b>d</b") == "aaa <!-- x b d</b"
