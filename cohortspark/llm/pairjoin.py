@@ -16,6 +16,8 @@ from cohortspark.llm import textops as T
 #: differ in almost half of them, so this many rule them out.
 BITS = 8
 CHUNK = 1000
+#: Smallest keys of a node that its rows carry, so that a pair with many common keys seldom comes out more than once.
+HELD = 16
 
 
 def gap(total, num: int, den: int):
@@ -66,8 +68,8 @@ def _pruned(num: int, den: int):
 def _across(num: int, den: int, nearest: bool):
     """A task over blocks of nodes that share a key: pairs of different components that nothing rules out.
 
-    With ``nearest`` only the pair of each node whose sketches differ least. A pair comes out under the first of the
-    keys that both nodes have, so once, however many these are.
+    With ``nearest`` only the pair of each node whose sketches differ least. A pair is passed over where ``held``, the
+    HELD smallest keys of each node, show a smaller key that both have: it comes out under that one.
     """
 
     def lesser(t: pa.Table, at: int, key: int, known: dict[int, set[int]]) -> set[int]:
@@ -178,7 +180,7 @@ def classes(shared: DataFrame, marks: DataFrame, check: Callable[[DataFrame], Da
         several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         mixed = scratch.written(named.join(several, "key", "left_semi"), "mixed", owner)
         scratch.forget(named)
-        held = scratch.written(mixed.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("held")), "held", owner)  # the keys of one set
+        held = scratch.written(mixed.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, HELD).alias("held")), "held", owner)  # the keys of one set
         spread = blocks.dealt(mixed.join(marks, "node").join(held, "node"), ["key"], "node", CHUNK)
         more = spread.select("key", "lo", "hi", "c", "node", "root", "n", "sketch", "held").mapInArrow(_across(num, den, nearest), "a long, b long").distinct()
         more = scratch.written(more.join(tested, ["a", "b"], "left_anti"), "more", owner)
