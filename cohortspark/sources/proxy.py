@@ -58,7 +58,7 @@ def tables(d: dict) -> dict[str, str]:
 
 def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The tables over ``sf_dir``; nothing is read before a table is used."""
-    raw = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "customer", "orders", "lineitem", "part")}
+    raw = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "customer", "orders", "lineitem", "part", "supplier")}
     out: dict[str, DataFrame] = dict(raw)
     for name, sql in tables(SPARK).items():
         needs = {t: df for t, df in out.items() if f" {t}" in sql}
@@ -84,4 +84,7 @@ def oracle_with(sql: str) -> str:
     if not chosen:
         return sql
     body = ",\n".join(f"{n} AS ({parts[n]})" for n in reversed(chosen))
-    return f"WITH {body}{',' if sql.lstrip().startswith('WITH ') else ''}\n{sql.lstrip()[5:] if sql.lstrip().startswith('WITH ') else sql}"
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().startswith(word):
+            return f"{word}{body},\n{sql.lstrip()[len(word):]}"
+    return f"WITH {body}\n{sql}"
