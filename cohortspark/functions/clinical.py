@@ -84,6 +84,20 @@ def trend(slope: Column) -> Column:
     return F.when(slope < -2, "falling_fast").when(slope < -1, "falling").when(slope < 1, "steady").when(slope < 2, "rising").when(slope.isNotNull(), "rising_fast")
 
 
+def trend_of(rise: str, run: str) -> Column:
+    """Five levels of the slope rise / run in thousandths of mg/dL a second: whole numbers are compared, nothing is divided."""
+    level = F.when(F.col(run) <= 0, None)
+    for limit, name in ((-2, "falling_fast"), (-1, "falling"), (1, "steady"), (2, "rising")):
+        level = level.when(60 * F.col(rise) < 1000 * limit * F.col(run), name)
+    return level.when(F.col(rise).isNotNull(), "rising_fast")
+
+
+def slope_of(rise: str, run: str) -> Column:
+    """The same slope in mg/dL a minute, half away from zero to two digits."""
+    size = F.expr(f"(12 * abs({rise}) + {run}) div (2 * {run})") / 100
+    return F.when(F.col(run) > 0, F.when(F.col(rise) < 0, -size).otherwise(size))
+
+
 def clarke_zone(reference: Column, predicted: Column) -> Column:
     """Clarke error grid. Zones overlap on their borders: A is asked first, then E, C and D; what is left is B."""
     r, p = reference.cast("double"), predicted.cast("double")

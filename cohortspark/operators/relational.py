@@ -162,13 +162,17 @@ def complete(t: Tables, rows: int) -> DataFrame:
 
 
 def slope(t: Tables) -> DataFrame:
-    """Least-squares slope (mg/dL a minute) over the trailing 15 minutes and its level; from three readings and ten minutes on."""
-    sec = (F.unix_micros(F.col("time").cast("timestamp")) / 1000000).cast("long")
+    """Least-squares slope (mg/dL a minute) over the trailing 15 minutes and its level; from three readings and ten minutes on.
+
+    A fraction of sums of whole numbers, as in the live state: levels do not hang on the order of additions.
+    """
+    sec = F.unix_seconds(F.col("time").cast("timestamp"))
     w = Window.partitionBy("device_id").orderBy("s").rangeBetween(-900, 0)
-    g = t["glucose"].withColumn("s", sec).withColumn("m", (F.col("s") - 1_710_000_000) / 60)
-    fit = F.regr_slope("mg_dl", "m").over(w)
-    g = g.select("device_id", "time", F.when((F.count("*").over(w) >= 3) & (F.col("m") - F.min("m").over(w) >= 10), C.rounded(fit, 2)).alias("slope"))
-    return g.withColumn("trend", C.trend(F.col("slope")))
+    g = t["glucose"].withColumn("s", sec).withColumn("x", F.col("s") - 1_710_000_000).withColumn("y", F.round(F.col("mg_dl") * 1000).cast("long"))
+    total = lambda c: F.sum(F.expr(f"cast({c} as decimal(19, 0))")).over(w)
+    g = g.select("device_id", "time", "x", F.count("*").over(w).alias("n"), F.min("x").over(w).alias("first"), *[total(c).cast("decimal(19, 0)").alias(a) for c, a in (("x", "sx"), ("y", "sy"), ("x * y", "sxy"), ("x * x", "sxx"))])
+    g = g.withColumn("rise", F.when((F.col("n") >= 3) & (F.col("x") - F.col("first") >= 600), F.expr("n * sxy - sx * sy"))).withColumn("run", F.expr("n * sxx - sx * sx"))
+    return g.select("device_id", "time", C.slope_of("rise", "run").alias("slope"), C.trend_of("rise", "run").alias("trend"))
 
 
 def recent(t: Tables, n: int) -> DataFrame:

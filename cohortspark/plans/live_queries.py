@@ -77,8 +77,10 @@ _STATUS = """CASE WHEN metric = 'glucose' THEN CASE WHEN value < 54 THEN 'very_l
  WHEN metric = 'spo2' THEN CASE WHEN value < 90 THEN 'low' WHEN value < 95 THEN 'borderline' ELSE 'normal' END WHEN metric = 'mets' THEN CASE WHEN value < 1.5 THEN 'sedentary' WHEN value < 3 THEN 'light' WHEN value < 6 THEN 'moderate' ELSE 'vigorous' END END"""
 LATEST = f"SELECT DISTINCT ON (patient_id, signal) patient_id, CASE metric WHEN 'mets' THEN 'activity' ELSE metric END AS signal, time, value, {_STATUS} AS status FROM reading WHERE metric IN ('glucose', 'heart_rate', 'spo2', 'mets') ORDER BY patient_id, signal, time DESC, value DESC"
 STALE = f"SELECT patient_id, signal, value, CASE WHEN epoch_us(TIMESTAMP '{NOW}') - epoch_us(time) > CASE signal WHEN 'glucose' THEN 900000000 WHEN 'heart_rate' THEN 600000000 END THEN 'stale' ELSE status END AS status FROM ({LATEST})"
-TREND = """SELECT patient_id, sign(b) * (floor(abs(b) * 100.0 + 0.5) / 100.0) + 0.0 AS slope, CASE WHEN b < -2 THEN 'falling_fast' WHEN b < -1 THEN 'falling' WHEN b < 1 THEN 'steady' WHEN b < 2 THEN 'rising' WHEN b IS NOT NULL THEN 'rising_fast' END AS trend FROM (SELECT patient_id, CASE WHEN count(*) >= 3 AND -min(x) >= 10 THEN regr_slope(value, x) END AS b
- FROM (SELECT DISTINCT patient_id, value, (epoch_us(time) - epoch_us(max(time) OVER (PARTITION BY patient_id))) / 60000000 AS x FROM reading WHERE metric = 'glucose') WHERE x >= -15 GROUP BY 1)"""
+_LEVEL = "CASE WHEN run <= 0 THEN NULL WHEN 60 * rise < -2000 * run THEN 'falling_fast' WHEN 60 * rise < -1000 * run THEN 'falling' WHEN 60 * rise < 1000 * run THEN 'steady' WHEN 60 * rise < 2000 * run THEN 'rising' WHEN rise IS NOT NULL THEN 'rising_fast' END"
+_SLOPE = "CASE WHEN run > 0 THEN sign(rise) * CAST((12 * abs(rise) + run) // (2 * run) AS DOUBLE) / 100 + 0.0 END"
+TREND = f"""SELECT patient_id, {_SLOPE} AS slope, {_LEVEL} AS trend FROM (SELECT patient_id, CASE WHEN count(*) >= 3 AND -min(x) >= 600 THEN count(*) * sum(x * y) - sum(x) * sum(y) END AS rise, count(*) * sum(x * x) - sum(x) * sum(x) AS run
+ FROM (SELECT DISTINCT patient_id, CAST(round(value * 1000) AS BIGINT) AS y, CAST(date_diff('second', max(time) OVER (PARTITION BY patient_id), time) AS BIGINT) AS x FROM reading WHERE metric = 'glucose') WHERE x >= -900 GROUP BY 1)"""
 STEPS = "SELECT patient_id, day, steps FROM (SELECT patient_id, CAST(time AS DATE) AS day, sum(value) AS steps FROM reading WHERE metric = 'steps' GROUP BY 1, 2) QUALIFY day = max(day) OVER (PARTITION BY patient_id)"
 SLEEP = "SELECT DISTINCT ON (patient_id) patient_id, CASE WHEN (SELECT max(time) FROM {0} x WHERE x.patient_id = r.patient_id) > until THEN 'awake' ELSE stage END AS stage FROM {0} r WHERE metric = 'sleep' ORDER BY patient_id, time DESC"
 _HEART = "SELECT DISTINCT ON (patient_id) patient_id, CASE WHEN epoch_us(TIMESTAMP '" + NOW + "') - epoch_us(time) > 600000000 THEN 'stale' WHEN value < 50 THEN 'low' WHEN value <= 100 THEN 'normal' ELSE 'elevated' END AS s FROM {0} WHERE metric = 'heart_rate' ORDER BY patient_id, time DESC"

@@ -1,17 +1,12 @@
 """The state of every patient: bands, trend, steps of the day, sleep and staleness.
 
-``snapshot`` and ``transitions`` compute it from all readings at once, as a fold in time order would; ``follow`` keeps
-it over a stream with one state a patient. Readings are (patient_id, time, metric, value, stage, until), naive local
+``snapshot`` and ``transitions`` compute it from all readings at once, as a fold in time order would; ``live.follow``
+keeps it over a stream. Readings are (patient_id, time, metric, value, stage, until), naive local
 times; a late reading never replaces a newer one but counts for the trend and the steps of its day.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from datetime import datetime, timedelta
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,13 +54,18 @@ def latest(readings: DataFrame) -> DataFrame:
 
 
 def trend(readings: DataFrame) -> DataFrame:
-    """(patient_id, slope, trend) over the distinct glucose readings of the last 15 minutes before the newest one."""
+    """(patient_id, slope, trend) over the distinct glucose readings of the last 15 minutes before the newest one.
+
+    The slope is a fraction of whole numbers (seconds, thousandths), so no order of the rows can move it over a limit.
+    """
     g = readings.where("metric = 'glucose'").select("patient_id", "time", "value").distinct()
     end = g.groupBy("patient_id").agg(F.max("time").alias("end"))
-    near = g.join(end, "patient_id").withColumn("x", (_us("time") - _us("end")) / _US).where(F.col("x") >= -WINDOW_MIN)
-    fit = near.groupBy("patient_id").agg(F.count("*").alias("n"), F.min("x").alias("first"), F.regr_slope("value", "x").alias("slope"))
-    fit = fit.withColumn("slope", F.when((F.col("n") >= LEAST_POINTS) & (-F.col("first") >= LEAST_SPAN_MIN), F.col("slope")))
-    return fit.select("patient_id", C.rounded(F.col("slope"), 2).alias("slope"), C.trend(F.col("slope")).alias("trend"))
+    near = g.join(end, "patient_id").withColumn("x", F.timestamp_diff("SECOND", F.col("end"), F.col("time"))).where(F.col("x") >= -60 * WINDOW_MIN)
+    x, y = F.col("x"), F.round(F.col("value") * 1000).cast("long")
+    fit = near.groupBy("patient_id").agg(F.count("*").alias("n"), F.min("x").alias("first"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"))
+    enough = (F.col("n") >= LEAST_POINTS) & (-F.col("first") >= 60 * LEAST_SPAN_MIN)
+    rise = F.when(enough, F.expr("n * sxy - sx * sy"))
+    return fit.select("patient_id", rise.alias("rise"), F.expr("n * sxx - sx * sx").alias("run")).select("patient_id", C.slope_of("rise", "run").alias("slope"), C.trend_of("rise", "run").alias("trend"))
 
 
 def steps_today(readings: DataFrame) -> DataFrame:
@@ -137,143 +137,3 @@ def rebuilt(readings: DataFrame) -> DataFrame:
     glucose = (F.col("metric") == "glucose") & ((_us("end") - _us("time")) <= WINDOW_MIN * _US)
     steps = (F.col("metric") == "steps") & (F.to_date("time") == F.to_date("end"))
     return j.where((F.col("time") == F.col("end")) | glucose | steps).drop("end")
-
-
-# --- the same over a stream -----------------------------------------------------------------------------------------
-
-
-def observe(clock: dict | None, device: datetime, wall: datetime) -> dict:
-    """The clock after a batch: the rate of device to wall time moves half way to what was seen, between 0.01 and 100,000.
-
-    It moves only when half a second of wall time passed and the device went on; device time never goes back.
-    """
-    if clock is None:
-        return {"device": device.isoformat(), "wall": wall.isoformat(), "rate": 1.0}
-    was, at, rate = datetime.fromisoformat(clock["device"]), datetime.fromisoformat(clock["wall"]), clock["rate"]
-    passed = (wall - at).total_seconds()
-    if passed >= 0.5 and device > was:
-        rate = min(max(0.5 * rate + 0.5 * (device - was).total_seconds() / passed, 0.01), 100_000.0)
-    return {"device": max(device, was).isoformat(), "wall": wall.isoformat(), "rate": rate}
-
-
-def _band(metric: str, value: float) -> str | None:
-    if metric == "glucose":
-        return "very_low" if value < 54 else "low" if value < 70 else "in_range" if value <= 180 else "high" if value <= 250 else "very_high"
-    if metric == "heart_rate":
-        return "low" if value < 50 else "normal" if value <= 100 else "elevated"
-    if metric == "activity_level":
-        return LEVELS[min(max(int(value), 0), 3)]
-    return next((label for top, label in BANDS.get(metric, []) if value < top), None)
-
-
-def _slope(points: list) -> tuple[str | None, float | None]:
-    end = datetime.fromisoformat(points[-1][0])
-    x = [(datetime.fromisoformat(t) - end).total_seconds() / 60 for t, _ in points]
-    if len(points) < LEAST_POINTS or -x[0] < LEAST_SPAN_MIN:
-        return None, None
-    y = [v for _, v in points]
-    mx, my = sum(x) / len(x), sum(y) / len(y)
-    s = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
-    return next(n for top, n in ((-2, "falling_fast"), (-1, "falling"), (1, "steady"), (2, "rising"), (float("inf"), "rising_fast")) if s < top), round(s, 2)
-
-
-def step(state: dict, r: dict) -> dict:
-    """The state after one reading; states are plain values that JSON can hold."""
-    s, at, metric = dict(state), r["time"].isoformat(), r["metric"]
-    newer = lambda name: name not in s or at >= s[name]["time"]
-    if metric == "glucose":
-        old = s.get("glucose", {})
-        anchor = max(at, old.get("time", at))
-        from_ = (datetime.fromisoformat(anchor) - timedelta(minutes=WINDOW_MIN)).isoformat()
-        recent = sorted({(t, v) for t, v in [*map(tuple, old.get("recent", [])), (at, float(r["value"]))] if t >= from_})
-        g = {**old, "time": at, "value": float(r["value"]), "status": _band(metric, r["value"])} if newer("glucose") else dict(old)
-        g["recent"] = [list(p) for p in recent]
-        g["trend"], g["slope"] = _slope(recent)
-        s["glucose"] = g
-    elif metric == "steps":
-        old = s.get("steps")
-        if old is None or at[:10] > old["time"][:10]:
-            s["steps"] = {"time": at, "value": float(r["value"])}
-        elif at[:10] == old["time"][:10]:
-            s["steps"] = {"time": max(at, old["time"]), "value": old["value"] + float(r["value"])}
-    elif metric == "sleep":
-        if newer("sleep"):
-            s["sleep"] = {"time": at, "status": r["stage"], "until": r["until"].isoformat() if r["until"] is not None else None}
-    elif metric in ("heart_rate", "mets", "activity_level", "spo2", *PLAIN):
-        name = "activity" if metric in ("mets", "activity_level") else metric
-        if newer(name):
-            s[name] = {"time": at, "value": float(r["value"]), "status": _band(metric, r["value"])}
-    up = s.get("sleep")
-    if up and up["until"] is not None and at > up["until"] and up["status"] != "awake":
-        s["sleep"] = {**up, "status": "awake", "until": None}
-    return s
-
-
-def mark_stale(state: dict, now: datetime) -> dict:
-    s = dict(state)
-    for name, minutes in STALE_MIN.items():
-        x = s.get(name)
-        if x and x["status"] != "stale" and now - datetime.fromisoformat(x["time"]) > timedelta(minutes=minutes):
-            s[name] = {**x, "status": "stale"} | ({"trend": None, "slope": None} if name == "glucose" else {})
-    return s
-
-
-def changed(old: dict, new: dict) -> list[tuple]:
-    """(signal, from, to, value) of every status and of the trend that changed."""
-    out = []
-    for name in ("glucose", "heart_rate", "activity", "sleep", "spo2"):
-        a, b = old.get(name, {}).get("status"), new.get(name, {}).get("status")
-        if b is not None and a != b:
-            out.append((name, a, b, new[name].get("value")))
-    a, b = old.get("glucose", {}).get("trend"), new.get("glucose", {}).get("trend")
-    if b is not None and a != b:
-        out.append(("glucose_trend", a, b, new["glucose"]["slope"]))
-    return out
-
-
-def fold(state: dict, readings: list[dict], now: datetime | None = None) -> tuple[dict, list[tuple]]:
-    """The state after readings in time order, sleep first at equal times, then staleness at ``now``; and what changed."""
-    found = []
-    for r in sorted(readings, key=lambda r: (r["time"], r["metric"] != "sleep")):
-        nxt = step(state, r)
-        found += [(r["time"], *c) for c in changed(state, nxt)]
-        state = nxt
-    at = now or max((r["time"] for r in readings), default=None)
-    if at is not None:
-        nxt = mark_stale(state, at)
-        found += [(at, *c) for c in changed(state, nxt)]
-        state = nxt
-    return state, found
-
-
-OUTPUT = "patient_id long, version long, time timestamp_ntz, signal string, from_status string, to_status string, value double, state string"
-
-
-def _live(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-    if held.hasTimedOut:
-        held.remove()
-        return
-    version, text = held.get if held.exists else (0, "{}")
-    old = json.loads(text)
-    rows = [r for b in batches for r in b.to_dict("records")]
-    for r in rows:
-        r["time"] = pd.Timestamp(r["time"]).to_pydatetime()
-        r["until"] = None if pd.isna(r["until"]) else pd.Timestamp(r["until"]).to_pydatetime()
-    new, found = fold(old, rows)
-    if new != old:
-        version += 1
-        held.update((version, json.dumps(new)))
-        seen = json.dumps({k: {f: v for f, v in x.items() if f != "recent"} for k, x in new.items()}, sort_keys=True)
-        out = [(key[0], version, t, *c, seen) for t, *c in found] or [(key[0], version, max(r["time"] for r in rows), None, None, None, None, seen)]
-        yield pd.DataFrame(out, columns=["patient_id", "version", "time", "signal", "from_status", "to_status", "value", "state"])
-    held.setTimeoutDuration(EVICT_S * 1000)
-
-
-def follow(readings: DataFrame) -> DataFrame:
-    """The stream of changes of every patient's state: one writer a patient, the version grows with every change.
-
-    The state holds at most a quarter of an hour of glucose; ten minutes without readings drop it. There is no
-    watermark, as late readings still count.
-    """
-    r = readings.select(F.col("patient_id").cast("long").alias("patient_id"), "time", "metric", F.col("value").cast("double").alias("value"), "stage", "until")
-    return r.groupBy("patient_id").applyInPandasWithState(_live, OUTPUT, "version long, state string", "append", "ProcessingTimeTimeout")
