@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
+from cohortspark.operators.rounds import folder
 from cohortspark.plans.oracles import r
 from cohortspark.sources import health_files as H
+from cohortspark.sources import xport
 from pyspark.sql import functions as F
 
 QUESTIONS = {"BPQ020": "38341003", "MCQ160B": "42343007"}
@@ -125,7 +128,18 @@ def _parsed(t):
 CODES = ["4548-4", "8480-6", "8462-4"]
 _NTZ = lambda c: F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
 
+def _transport(t):
+    """Accounts written as transport files by every task, then read back as a component of a survey."""
+    spark = t["customer"].sparkSession
+    spark.dataSource.register(xport.Xport)
+    path = f"{folder(spark)}/transport-{uuid4().hex}"
+    rows = t["customer"].selectExpr("cast(c_custkey as double) as SEQN", "if(c_custkey % 6 = 0, null, c_mktsegment) as SEGMENT", "if(c_custkey % 7 = 0, null, if(c_custkey % 5 = 0, 0d, c_acctbal)) as BALANCE")
+    rows.write.format("xport").mode("append").option("path", path).option("width", 24).save()
+    return spark.read.format("xport").option("path", path).load().select(F.col("SEQN").cast("long").alias("SEQN"), "SEGMENT", "BALANCE")
+
+
 PLANS: dict[str, Callable] = {
+    "src_xpt": _transport,
     "src_clock": _clocks,
     "src_num": _numbers,
     "src_race": _races,
@@ -154,6 +168,7 @@ _SIGNAL = "SELECT user_id AS device_id, date_trunc('hour', ts) + to_seconds(even
 _DAYS = "CAST(round_even(365.25 * {}, 0) AS INTEGER)"
 
 SQL: dict[str, str] = {
+    "src_xpt": "SELECT c_custkey AS SEQN, CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS SEGMENT, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 0.0 ELSE c_acctbal END AS BALANCE FROM customer",
     "src_clock": f"SELECT event_id, CASE event_id % 5 WHEN 0 THEN printf('%02d:%02d:%02d', h, m, s) WHEN 1 THEN printf('%02d:%02d:00', h, m) WHEN 2 THEN printf('%02d:%02d:%02d', h, m, s) WHEN 3 THEN printf('%02d:%02d:00', h, m) END AS clock FROM (SELECT event_id, {_CLOCK} FROM events)",
     "src_num": "SELECT event_id, CASE WHEN event_id % 4 = 2 THEN event_id + 0.5 END::DOUBLE AS x FROM events",
     "src_race": "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Black or African American' WHEN 1 THEN 'Black or African American' WHEN 3 THEN 'White' END AS race FROM customer",

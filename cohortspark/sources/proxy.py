@@ -46,7 +46,7 @@ def tables(d: dict) -> dict[str, str]:
         "medicine": f"SELECT o_custkey AS patient_id, l_orderkey AS encounter_id, l_orderkey * 10 + l_linenumber AS regimen_id, l_partkey % 50 AS ingredient_id, l_partkey AS product_id, l_partkey % 50 % 4 = 0 AS lowering, l_quantity AS dose, l_suppkey % 3 AS per_day, o_orderdate AS started_at, CASE WHEN o_orderstatus <> 'O' THEN {_later(d, 'o_orderdate', 'CASE WHEN l_linenumber % 2 = 0 THEN 6 ELSE 24 * l_quantity END', 'hour')} END AS ended_at, l_returnflag = 'N' AS is_synthetic FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber % 3 = 1",
         "source": "SELECT DISTINCT c_nationkey % 3 AS source_id, CASE c_nationkey % 3 WHEN 0 THEN 'cgm' WHEN 1 THEN 'survey' ELSE 'made' END AS code FROM customer",
         "person": "SELECT c_custkey AS patient_id, CASE WHEN c_custkey % 4 > 0 THEN 'Given' || CAST(c_custkey % 10 AS VARCHAR(9)) END AS given_name, CASE WHEN c_custkey % 6 > 2 THEN 'Family' || CAST(c_custkey % 7 AS VARCHAR(9)) END AS family_name, c_nationkey % 3 AS source_id, 'S' || CAST(c_custkey AS VARCHAR(20)) AS source_subject_id, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS race FROM customer",
-        "condition_group": "SELECT p_partkey % 40 AS concept_id, min(CASE p_partkey % 10 WHEN 0 THEN 'hypertension' WHEN 1 THEN 'dyslipidemia' WHEN 2 THEN 'ckd' WHEN 3 THEN 'retinopathy' WHEN 4 THEN 'neuropathy' WHEN 5 THEN 'cardiovascular' WHEN 6 THEN 'sleep_apnea' WHEN 7 THEN 'copd' ELSE 't2d' END) AS grp, min('Concept ' || CAST(p_partkey % 40 AS VARCHAR(9)) || CASE WHEN p_partkey % 3 = 0 THEN ' (disorder)' WHEN p_partkey % 3 = 1 THEN ' (finding)' ELSE '' END) AS display FROM part WHERE p_partkey <= 40 GROUP BY 1",
+        "condition_group": "SELECT p_partkey % 40 AS concept_id, min(CASE p_partkey % 10 WHEN 0 THEN 'hypertension' WHEN 1 THEN 'dyslipidemia' WHEN 2 THEN 'ckd' WHEN 3 THEN 'retinopathy' WHEN 4 THEN 'neuropathy' WHEN 5 THEN 'cardiovascular' WHEN 6 THEN 'sleep_apnea' WHEN 7 THEN 'copd' ELSE 't2d' END) AS grp, min('Concept ' || CAST(p_partkey % 40 AS VARCHAR(9)) || CASE WHEN p_partkey % 3 = 0 THEN ' (disorder)' WHEN p_partkey % 3 = 1 THEN ' (finding)' ELSE '' END) AS display FROM part GROUP BY 1",
         "drug": "SELECT DISTINCT p_partkey % 50 AS ingredient_id, 'drug ' || CAST(p_partkey % 50 AS VARCHAR(9)) AS drug_name, CASE p_partkey % 50 % 12 WHEN 0 THEN 'biguanide' WHEN 1 THEN 'sulfonylurea' WHEN 2 THEN 'dpp4_inhibitor' WHEN 3 THEN 'sglt2_inhibitor' WHEN 4 THEN 'glp1_ra' WHEN 5 THEN 'thiazolidinedione' WHEN 6 THEN 'insulin_rapid' WHEN 7 THEN 'insulin_long' WHEN 8 THEN 'statin' WHEN 9 THEN 'ace_inhibitor' WHEN 10 THEN 'arb' END AS class_code, p_partkey % 50 % 12 < 8 AS class_lowers FROM part",
         "dose": f"SELECT user_id AS patient_id, {_later(d, base, '5 * rn', 'minute')} AS time, CASE event_id % 7 WHEN 0 THEN 'insulin_rapid' WHEN 1 THEN 'insulin_premixed' WHEN 2 THEN 'insulin_long' WHEN 3 THEN 'insulin_intermediate' WHEN 4 THEN 'biguanide' WHEN 5 THEN 'statin' END AS class_code, event_id % 7 < 5 AS class_lowers, floor(value / 50) AS dose_value, 'U' AS dose_unit FROM ev WHERE event_id % 3 = 0",
         "patient_tag": "SELECT c_custkey AS patient_id, c_mktsegment AS tag FROM customer UNION ALL SELECT c_custkey, 'real' FROM customer WHERE c_nationkey % 3 = 0 UNION ALL SELECT c_custkey, 'gmi-warn' FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey, 'rich' FROM customer WHERE c_acctbal > 5000",
