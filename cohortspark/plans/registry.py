@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions import clinical as C
 from cohortspark.operators import analytic as A
 from cohortspark.operators import report as R
-from cohortspark.plans import blocks, fusion_queries, job_queries, live_queries, matching_queries, oracles, record_queries, source_queries, view_queries
+from cohortspark.plans import blocks, fusion_queries, job_queries, learn_queries, live_queries, matching_queries, oracles, record_queries, source_queries, view_queries
 from cohortspark.sources import proxy
 
 AS_OF, NOW = "2026-01-01", "2024-03-09 04:00:00"
@@ -78,8 +78,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(proxy.views(spark, sf_dir))) for name, f in (PLANS | blocks.PLANS | source_queries.PLANS | fusion_queries.PLANS | record_queries.PLANS | live_queries.PLANS | job_queries.PLANS | view_queries.PLANS | matching_queries.PLANS).items()}
+    return {name: (lambda spark, sf_dir, f=f: f(proxy.views(spark, sf_dir))) for name, f in (PLANS | blocks.PLANS | source_queries.PLANS | fusion_queries.PLANS | record_queries.PLANS | live_queries.PLANS | job_queries.PLANS | view_queries.PLANS | matching_queries.PLANS | learn_queries.PLANS).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: proxy.oracle_with(sql) for name, sql in (oracles.SQL | blocks.SQL | source_queries.SQL | fusion_queries.SQL | record_queries.SQL | live_queries.SQL | job_queries.SQL | view_queries.SQL | matching_queries.SQL).items()}
+    return {name: proxy.oracle_with(sql) for name, sql in (oracles.SQL | blocks.SQL | source_queries.SQL | fusion_queries.SQL | record_queries.SQL | live_queries.SQL | job_queries.SQL | view_queries.SQL | matching_queries.SQL | learn_queries.SQL).items()}
