@@ -57,7 +57,7 @@ def visits_page(t: Tables, year: int | None, class_: str | None, limit: int, off
 def medications(rows: DataFrame) -> DataFrame:
     """One row a patient and ingredient: the current regimen is the latest running one, else the latest."""
     r = rows.withColumn("active", F.col("ended_at").isNull()).withColumn("brief", F.coalesce(_us("ended_at") - _us("started_at") < SINGLE_DAY_US, F.lit(False)))
-    last = F.max_by(F.struct("product_id", "dose", "per_day", "started_at", "ended_at", "encounter_id"), F.struct("active", "started_at", "regimen_id", "product_id")).alias("current")
+    last = F.max_by(F.struct("product_id", "dose", "per_day", "started_at", "ended_at", "encounter_id"), F.struct("active", "started_at", "regimen_id", "product_id", "ended_at")).alias("current")
     g = r.groupBy("patient_id", "ingredient_id").agg(last, F.bool_or("active").alias("active"), F.max("lowering").alias("lowering"), F.min("started_at").alias("first_started_at"), F.count("*").alias("episodes"), F.bool_and("brief").alias("single_day"), F.bool_and("is_synthetic").alias("is_synthetic"))
     return g.select("patient_id", "ingredient_id", "current.product_id", "lowering", "active", "current.started_at", "current.ended_at", "first_started_at", "episodes", "single_day", "is_synthetic")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from uuid import uuid4
 
 from cohortspark.functions import clinical as C
-from cohortspark.operators import linear, rollup
+from cohortspark.operators import arima, linear, rollup
 from cohortspark.operators.rounds import folder
 from cohortspark.plans import job_queries
 from cohortspark.plans.oracles import r
@@ -41,6 +41,7 @@ def _kept(t):
 
 
 PLANS: dict[str, Callable] = {
+    "a_arima": lambda t: arima.forecasts(t["fused"].select("patient_id", (F.unix_seconds(F.col("time").cast("timestamp")) / 300).cast("long").alias("place"), F.col("mg_dl").alias("value")), orders=((1, 0, 0), (2, 0, 0), (0, 1, 1), (1, 1, 1))),
     "a_linear": _linear,
     "a_linear_moments": lambda t: linear.moments(_rows(t), FEATURES, "target", "segment"),
     "snk_rollup": _kept,

@@ -29,7 +29,7 @@ PLANS: dict[str, Callable] = {
 _MEASURE = "CASE WHEN analyte IN ('weight', 'height') THEN 'body' ELSE analyte END"
 VISITS = f"""SELECT *, tests + diagnoses + medications > 0 AS has_records FROM (SELECT encounter_id, patient_id, class, started_at, ended_at, {r('(epoch_us(ended_at) - epoch_us(started_at)) / 3600000000', 1)} AS duration_h,
  (SELECT count(DISTINCT {_MEASURE}) FROM result x WHERE x.encounter_id = e.encounter_id) AS tests, (SELECT count(*) FROM diagnosis x WHERE x.encounter_id = e.encounter_id) AS diagnoses, (SELECT count(*) FROM medicine x WHERE x.encounter_id = e.encounter_id) AS medications FROM encounter e)"""
-MEDS = """SELECT patient_id, ingredient_id, c.product_id, lowering, active, c.started_at, c.ended_at, first_started_at, episodes, single_day, is_synthetic FROM (SELECT patient_id, ingredient_id, (list(struct_pack(product_id, started_at, ended_at) ORDER BY ended_at IS NULL DESC, started_at DESC, regimen_id DESC, product_id DESC))[1] AS c,
+MEDS = """SELECT patient_id, ingredient_id, c.product_id, lowering, active, c.started_at, c.ended_at, first_started_at, episodes, single_day, is_synthetic FROM (SELECT patient_id, ingredient_id, (list(struct_pack(product_id, started_at, ended_at) ORDER BY ended_at IS NULL DESC, started_at DESC, regimen_id DESC, product_id DESC, ended_at DESC NULLS LAST))[1] AS c,
  bool_or(ended_at IS NULL) AS active, bool_or(lowering) AS lowering, min(started_at) AS first_started_at, count(*) AS episodes, bool_and(ended_at IS NOT NULL AND epoch_us(ended_at) - epoch_us(started_at) < 86400000000) AS single_day, bool_and(is_synthetic) AS is_synthetic FROM medicine GROUP BY 1, 2)"""
 CONDS = """SELECT *, greatest(onset_at, coalesce(abated_at, onset_at)) AS last_change FROM (SELECT DISTINCT ON (patient_id, concept_id) patient_id, concept_id, kind, bool_or(abated_at IS NULL) OVER w AS active, count(*) OVER w AS episodes, min(onset_at) OVER w AS first_onset, onset_at, abated_at, abated_at IS NULL AS latest_active,
  bool_and(is_synthetic) OVER w AS is_synthetic FROM diagnosis WINDOW w AS (PARTITION BY patient_id, concept_id) ORDER BY patient_id, concept_id, onset_at DESC, episode_id DESC, abated_at DESC NULLS LAST, kind DESC)"""

@@ -43,13 +43,13 @@ def test_sensor_streams(spark, tmp_path):
         H.meals(rows.withColumn("Meal Type", F.lit("brunch"))).collect()
 
 
-@pytest.mark.parametrize("native, step", [([100, 104, 110, 110, 110, 110, 108, 120, 131, 131, 90], 5), ([90, 95, 100], 15)])
+@pytest.mark.parametrize("native, step", [([142, 139, 139, 139, 151, 168, 168, 168, 77, 79, 79, 64, 60], 5), ([203, 188, 171, 171], 15)])
 def test_native_readings_come_back(spark, native, step):
     points = [(i * step, float(v)) for i, v in enumerate(native)]
     rows = [("a", m, v + (w - v) * k / step) for (m0, v), (_, w) in zip(points, points[1:]) for k in range(step) for m in [m0 + k]] + [("a", *points[-1])]
-    rows += [("a", 1000 + k, 150.0 - 10 * k / step) for k in range(step + 1)]  # another stretch
+    rows += [("a", 2000 + k, 96.0 + 15 * k / step) for k in range(step + 1)]  # another stretch
     got = sorted((r.minute, r.value) for r in H.native_samples(spark.createDataFrame(rows, "key string, minute long, value double"), step).collect())
-    assert got == [(m, int(v)) for m, v in points] + [(1000, 150), (1000 + step, 140)]
+    assert got == [(m, int(v)) for m, v in points] + [(2000, 96), (2000 + step, 111)]
 
 
 def test_dexcom_and_demographics(spark):
@@ -106,22 +106,22 @@ def test_associations_against_numpy(spark):
 
 
 def test_two_sensors_of_one_truth(spark):
-    rng = np.random.default_rng(2)
-    n = 4 * 1440
-    truth = 140 + 40 * np.sin(np.arange(n) / 97) + 20 * np.sin(np.arange(n) / 31)
-    ref = [("p", int(m + 8), float(truth[m])) for m in range(0, n - 8, 5)]
-    sec = [("p", int(m), float(0.8 * truth[m] - 10 + (rng.normal() * 25 if m < 1440 else rng.normal()))) for m in range(0, n, 15)]
+    rng = np.random.default_rng(21)
+    n, late, gain, base = 5 * 1440, 6, 0.7, 9.0
+    truth = 155 + 35 * np.sin(np.arange(n) / 83) + 25 * np.cos(np.arange(n) / 29)
+    ref = [("p", int(m + late), float(truth[m])) for m in range(0, n - late, 5)]
+    noise = np.where(np.arange(n) < 1440, 22.0, 1.2) * rng.normal(size=n)  # the first day is unsettled
+    sec = [("p", int(m), float(gain * truth[m] + base + noise[m])) for m in range(0, n, 15)]
     frame = lambda rows: spark.createDataFrame(rows, "patient_id string, minute long, value double")
     a, b = U.minute_series(frame(ref), 10), U.minute_series(frame(sec), 20)
     lag = U.lags(a, b, 30).first().lag
-    assert abs(lag + 8) <= 1
-    moved = U.shifted(frame(ref), F.lit(lag))
-    c = U.calibrated(moved, frame(sec)).first()
-    assert abs(c.slope - 1.25) < 0.03 and abs(c.intercept - 12.5) < 4 and c.factor > 3
+    assert abs(lag + late) <= 2
+    c = U.calibrated(U.shifted(frame(ref), F.lit(lag)), frame(sec)).first()
+    assert abs(c.slope * gain - 1) < 0.04 and abs(c.intercept + base / gain) < 6 and c.factor > 2
 
 
 def test_alignment_cases(spark):
-    lags = spark.createDataFrame([("a", -8), ("b", 12), ("c", 60), ("d", 60)], "patient_id string, lag int")
-    peaks = spark.createDataFrame([("a", 50, 50), ("b", 50, 50), ("c", 50, 110), ("d", 110, 50)], "patient_id string, reference_peak int, secondary_peak int")
+    lags = spark.createDataFrame([("early", -5), ("late", 9), ("second", 45), ("first", 45)], "patient_id string, lag int")
+    peaks = spark.createDataFrame([("early", 33, 33), ("late", 33, 33), ("second", 20, 65), ("first", 65, 20)], "patient_id string, reference_peak int, secondary_peak int")
     got = {r.patient_id: (r.reference_shift, r.secondary_shift) for r in U.alignment(lags, peaks).collect()}
-    assert got == {"a": (-8, 0), "b": (0, -12), "c": (0, -60), "d": (60, 0)}
+    assert got == {"early": (-5, 0), "late": (0, -9), "second": (0, -45), "first": (45, 0)}
