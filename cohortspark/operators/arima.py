@@ -51,20 +51,35 @@ def _system(ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def filtered(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(errors, their variances, last state, its covariance) of one-step predictions of x with mean 0; NaN is missing."""
+    """(errors, their variances, last state, its covariance) of one-step predictions of x with mean 0; NaN is missing.
+
+    Once the covariance no longer changes, only the state moves on, until a value is missing.
+    """
     t, load, p = _system(ar, ma)
-    noise = np.outer(load, load)
-    a = np.zeros(len(t))
-    errors, sizes = np.full(len(x), np.nan), np.full(len(x), np.nan)
-    for i, v in enumerate(x):
-        if v == v:
-            errors[i], sizes[i] = v - a[0], p[0, 0]
-            gain = p[:, 0] / p[0, 0]
-            a = a + gain * errors[i]
-            p = p - np.outer(gain, p[0])
-        a = t @ a
-        p = t @ p @ t.T + noise
-    return errors, sizes, a, p
+    noise, r = np.outer(load, load), len(t)
+    first = t[:, 0].tolist()
+    a = [0.0] * r
+    errors, sizes = [np.nan] * len(x), [np.nan] * len(x)
+    steady = False
+    gain: list[float] = []
+    size = 0.0
+    for i, v in enumerate(np.asarray(x, float).tolist()):
+        known = v == v
+        if not (steady and known):
+            was = p
+            if known:
+                size = float(p[0, 0])
+                g = p[:, 0] / size
+                gain = g.tolist()
+                p = p - np.outer(g, p[0])
+            p = t @ p @ t.T + noise
+            steady = known and bool(np.abs(p - was).max() <= 1e-13 * size)
+        if known:
+            e = errors[i] = v - a[0]
+            sizes[i] = size
+            a = [b + g * e for b, g in zip(a, gain)]
+        a = [f * a[0] + (a[k + 1] if k + 1 < r else 0.0) for k, f in enumerate(first)]
+    return np.array(errors), np.array(sizes), np.array(a), p
 
 
 def loglik(x: np.ndarray, ar: np.ndarray, ma: np.ndarray, variance: float | None = None) -> tuple[float, float]:
