@@ -120,7 +120,7 @@ SQL: dict[str, str] = {
  FROM (SELECT patient_id, time, s, min(s) OVER (PARTITION BY patient_id) AS a, max(s) OVER (PARTITION BY patient_id) AS b FROM (SELECT patient_id, time, epoch_us(time) / 1000000 AS s FROM fused))) WHERE segment IS NOT NULL""",
     "a_metrics": f"SELECT patient_id, count(*) AS n, {r('sqrt(avg(pow(predicted - actual, 2)))', 3)} AS rmse, {r('avg(abs(predicted - actual))', 3)} AS mae, {r('100 * avg(abs(predicted - actual) / actual)', 2)} AS mard_pct, {signed('avg(predicted - actual)', 3)} AS bias, {signed('(1 - avg(pow(predicted - actual, 2)) / nullif(var_pop(actual), 0))', 3)} AS r2 FROM ({PAIRS}) GROUP BY 1",
     "a_clarke": f"SELECT {_ZONE} AS zone, count(*) AS n FROM ({PAIRS}) GROUP BY 1",
-    "a_conformal": f"WITH p AS (SELECT patient_id, actual - predicted AS d FROM ({PAIRS})), q AS (SELECT patient_id, quantile_cont(d, 0.1) AS lo, quantile_cont(d, 0.9) AS hi FROM p GROUP BY 1) SELECT p.patient_id, count(*) AS n, {signed('any_value(lo)', 3)} AS low, {signed('any_value(hi)', 3)} AS high, {r('100 * avg(CAST(d >= lo AND d <= hi AS INT))', 1)} AS coverage FROM p JOIN q ON p.patient_id = q.patient_id GROUP BY 1",
+    "a_conformal": f"WITH p AS (SELECT patient_id, actual - predicted AS d FROM ({PAIRS})), q AS (SELECT patient_id, round(quantile_cont(d, 0.1), 9) AS lo, round(quantile_cont(d, 0.9), 9) AS hi FROM p GROUP BY 1) SELECT p.patient_id, count(*) AS n, {signed('any_value(lo)', 3)} AS low, {signed('any_value(hi)', 3)} AS high, {r('100 * avg(CAST(d >= lo AND d <= hi AS INT))', 1)} AS coverage FROM p JOIN q ON p.patient_id = q.patient_id GROUP BY 1",
     "a_regimen_episodes": "SELECT patient_id, medication_id, min(started_at) AS started_at, (list(struct_pack(e := ended_at) ORDER BY started_at DESC, l_orderkey DESC, l_linenumber DESC, ended_at DESC NULLS LAST))[1].e AS ended_at, count(*) AS orders FROM regimen GROUP BY 1, 2",
     "a_warnings": f"""WITH p AS ({POINTS}), q AS (SELECT *, coalesce(lag(glucose) OVER (PARTITION BY id ORDER BY horizon), now) AS pv, coalesce(lag(horizon) OVER (PARTITION BY id ORDER BY horizon), 0) AS pt FROM p),
  k AS (SELECT id, horizon, CASE WHEN glucose < 54 THEN 'very_low' ELSE 'very_high' END AS kind, 0 AS severity FROM q WHERE glucose < 54 OR glucose > 250 UNION ALL SELECT id, horizon, CASE WHEN glucose < 70 THEN 'low' ELSE 'high' END, 1 FROM q WHERE (glucose >= 54 AND glucose < 70) OR (glucose > 180 AND glucose <= 250)
