@@ -6,7 +6,7 @@ from collections.abc import Callable
 from uuid import uuid4
 
 from cohortspark.functions import clinical as C
-from cohortspark.operators import arima, linear, rollup
+from cohortspark.operators import arima, boosting, forecast, linear, rollup
 from cohortspark.operators.rounds import folder
 from cohortspark.plans import job_queries
 from cohortspark.plans.oracles import r
@@ -40,7 +40,34 @@ def _kept(t):
     return s.select("device_id", "n", *[C.rounded(F.col(c), 4).alias(c) for c in ("mean", "sd", "low", "high")])
 
 
+#: Features of the boosted forecaster: all of the grid but the targets; those without any value are left out by the fit.
+BOOSTED = [*FEATURES, "glucose_lag60", "roc_5", "roc_15", "roc_30", "mean_60", "sd_60", "heart_rate_30", "met_minutes_30", "met_minutes_60", "steps_60", "insulin_fast_2h", "oral_doses_12h", "tod_sin", "tod_cos"]
+TREES = boosting.Trees(rounds=10, depth=4, rate=0.3)
+
+
+def _boosted(t):
+    """Errors of trees with folds by patient, on rows of patients that the model has not seen, against glucose as it is."""
+    out = None
+    for h in (30, 60):
+        rows = job_queries.PLANS["a_features_forecast"](t).select("patient_id", "minute", *BOOSTED, F.col(f"target_t{h}").alias("target")).dropna(subset=["glucose", "target"])
+        told, models = boosting.cross_fit(rows, BOOSTED, "target", "patient_id", base="glucose", how=TREES)
+        s = forecast.scores(told.withColumn("now", F.col("glucose")).withColumn("horizon", F.lit(h)), ["horizon"])
+        s = s.withColumn("dropped", F.lit(",".join(sorted({d for m in models for d in m.dropped}))))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def _population(t):
+    """Errors of trees for HbA1c, every patient told by folds without it, against the mean of all."""
+    rows = job_queries.PLANS["a_prepare_pop"](t)
+    told, _ = boosting.cross_fit(rows, ["male", "current_smoker", "steps_k", "diagnosed", "duration"], "hba1c", "patient_id", how=TREES)
+    return forecast.scores(told.crossJoin(F.broadcast(rows.agg(F.avg("hba1c").alias("now")))).withColumn("target", F.col("hba1c")).withColumn("cohort", F.lit("nhanes")), ["cohort"])  # one row
+
+
 PLANS: dict[str, Callable] = {
+    "a_gbm_cv": _boosted,
+    "a_gbm_folds": lambda t: boosting.folds(_rows(t), "patient_id"),
+    "a_gbm_population": _population,
     "a_arima": lambda t: arima.forecasts(t["fused"].select("patient_id", (F.unix_seconds(F.col("time").cast("timestamp")) / 300).cast("long").alias("place"), F.col("mg_dl").alias("value")), orders=((1, 0, 0), (2, 0, 0), (0, 1, 1), (1, 1, 1))),
     "a_linear": _linear,
     "a_linear_moments": lambda t: linear.moments(_rows(t), FEATURES, "target", "segment"),
@@ -52,6 +79,7 @@ _COLS = ["1.0", *FEATURES, "target"]
 _PAIRS = [(i, j) for i in range(len(_COLS)) for j in range(i, len(_COLS))]
 
 SQL: dict[str, str] = {
+    "a_gbm_folds": f"SELECT patient_id, CAST(CASE WHEN (p // n) % 2 = 1 THEN n - 1 - p % n ELSE p % n END AS INTEGER) AS fold FROM (SELECT patient_id, row_number() OVER (ORDER BY count(*) DESC, patient_id) - 1 AS p, least(5, count(*) OVER ()) AS n FROM ({_ROWS}) GROUP BY patient_id)",
     "a_linear_moments": f"WITH x AS ({_ROWS}) " + " UNION ALL ".join(f"SELECT segment, {i} AS i, {j} AS j, CAST(sum({_COLS[i]} * {_COLS[j]}) AS DOUBLE) AS s FROM x GROUP BY 1" for i, j in _PAIRS),
     "snk_rollup": f"SELECT device_id, count(*) AS n, {r('avg(mg_dl)', 4)} AS mean, {r('stddev_samp(mg_dl)', 4)} AS sd, {r('count(*) FILTER (mg_dl < 70) / count(*)', 4)} AS low, {r('count(*) FILTER (mg_dl > 180) / count(*)', 4)} AS high FROM glucose GROUP BY 1",
 }
