@@ -6,7 +6,7 @@ from collections.abc import Callable
 from uuid import uuid4
 
 from cohortspark.functions import clinical as C
-from cohortspark.operators import arima, boosting, forecast, linear, rollup
+from cohortspark.operators import analytic, arima, artefact, boosting, forecast, linear, rollup, scoring
 from cohortspark.operators.rounds import folder
 from cohortspark.plans import job_queries
 from cohortspark.plans.oracles import r
@@ -57,6 +57,52 @@ def _boosted(t):
     return out
 
 
+CONTRACT = {"features": BOOSTED, "base": "glucose", "step_minutes": 5}
+
+
+def _stored(t):
+    """(features of all patients, the models of 30 and 60 minutes, their bands): trained, published, and read back as a job of another day would.
+
+    A fifth of the patients takes no part in the training; their residuals are the bands.
+    """
+    f = job_queries.PLANS["a_features_forecast"](t).select("patient_id", "minute", *BOOSTED, "target_t30", "target_t60")
+    spark, at = f.sparkSession, f"{folder(f.sparkSession)}/forecaster-{uuid4().hex}"
+    dealt = boosting.folds(f.where("glucose is not null"), "patient_id")
+    f.join(dealt, "patient_id").write.parquet(f"{at}/features")
+    f = spark.read.parquet(f"{at}/features")
+    made, band = {}, {}
+    for h in (30, 60):
+        m = boosting.fit(f.where("fold <> 0"), BOOSTED, f"target_t{h}", base="glucose", how=TREES)
+        made[str(h)], band[h] = m, scoring.bands(m.predict(f.where("fold = 0")).withColumn("target", F.col(f"target_t{h}")))
+    artefact.publish(spark, f"{at}/store", made, CONTRACT)
+    models, _ = artefact.load(spark, f"{at}/store", CONTRACT)
+    return f, models, band
+
+
+def _asked(f):
+    """Every patient is asked ten minutes after the last place of the grid."""
+    return f.groupBy("patient_id").agg((F.max("minute") + 10).alias("at"))
+
+
+def _forecast(t):
+    """The forecasts of all patients, or why there is none."""
+    f, models, band = _stored(t)
+    return scoring.forecasts(f.select("patient_id", "minute", "glucose"), _asked(f), f, {int(h): m for h, m in models.items()}, band)
+
+
+def _forecast_warnings(t):
+    """Warnings of the forecasts of all patients, by kind."""
+    points = _forecast(t).where("unavailable is null").select(F.col("patient_id").alias("device_id"), F.col("origin").alias("time"), F.col("patient_id").alias("id"), "now", "horizon", "glucose", "low", "high")
+    return analytic.warnings(points).withColumnRenamed("id", "patient_id")
+
+
+def _scenarios(t):
+    """What half an hour of activity and two units of fast insulin change for each patient, by the model."""
+    f, models, _ = _stored(t)
+    told = scoring.glucose_scenarios(f.drop("fold", "target_t30", "target_t60"), models, {"met_minutes": 90, "insulin_fast": 2})
+    return told.withColumn("inputs_changed", F.array_join("inputs_changed", ","))
+
+
 def _population(t):
     """Errors of trees for HbA1c, every patient told by folds without it, against the mean of all."""
     rows = job_queries.PLANS["a_prepare_pop"](t)
@@ -65,9 +111,12 @@ def _population(t):
 
 
 PLANS: dict[str, Callable] = {
+    "a_forecast": _forecast,
+    "a_forecast_warnings": _forecast_warnings,
     "a_gbm_cv": _boosted,
     "a_gbm_folds": lambda t: boosting.folds(_rows(t), "patient_id"),
     "a_gbm_population": _population,
+    "a_scenarios": _scenarios,
     "a_arima": lambda t: arima.forecasts(t["fused"].select("patient_id", (F.unix_seconds(F.col("time").cast("timestamp")) / 300).cast("long").alias("place"), F.col("mg_dl").alias("value")), orders=((1, 0, 0), (2, 0, 0), (0, 1, 1), (1, 1, 1))),
     "a_linear": _linear,
     "a_linear_moments": lambda t: linear.moments(_rows(t), FEATURES, "target", "segment"),
