@@ -106,8 +106,25 @@ def _scenarios(t):
 def _population(t):
     """Errors of trees for HbA1c, every patient told by folds without it, against the mean of all."""
     rows = job_queries.PLANS["a_prepare_pop"](t)
-    told, _ = boosting.cross_fit(rows, ["male", "current_smoker", "steps_k", "diagnosed", "duration"], "hba1c", "patient_id", how=TREES)
-    return forecast.scores(told.crossJoin(F.broadcast(rows.agg(F.avg("hba1c").alias("now")))).withColumn("target", F.col("hba1c")).withColumn("cohort", F.lit("nhanes")), ["cohort"])  # one row
+    told, _ = boosting.cross_fit(rows, POPULATION, "hba1c", "patient_id", how=TREES)
+    mean = rows.agg(F.avg("hba1c")).first()[0]
+    return forecast.scores(told.withColumn("now", F.lit(mean)).withColumn("target", F.col("hba1c")).withColumn("cohort", F.lit("nhanes")), ["cohort"])
+
+
+POPULATION = ["male", "current_smoker", "steps_k", "diagnosed", "duration"]
+
+
+def _population_scenarios(t):
+    """HbA1c of every patient by the population model as things are, and with 9000 steps a day and no smoking.
+
+    The model learns from one cohort and is asked about all patients, those without a measured value too.
+    """
+    model = boosting.fit(job_queries.PLANS["a_prepare_pop"](t), POPULATION, "hba1c", how=TREES)
+    static = job_queries._static(t).withColumn("cohort", F.lit("any")).withColumn("measured", F.col("hba1c"))
+    every = forecast.prepared(static.withColumn("hba1c", F.coalesce("hba1c", F.lit(0.0))), "any").join(static.select("patient_id", "measured"), "patient_id")
+    told = scoring.what_if(every, {"hba1c": model}, {"steps_k": F.lit(9.0), "current_smoker": F.lit(0.0)})
+    p = lambda n: C.rounded(F.col(f"predicted.{n}"), 2).alias(n)
+    return told.select("patient_id", "measured", p("baseline"), p("scenario"), p("difference"), F.array_join("inputs_changed", ",").alias("inputs_changed"))
 
 
 PLANS: dict[str, Callable] = {
@@ -117,6 +134,7 @@ PLANS: dict[str, Callable] = {
     "a_gbm_folds": lambda t: boosting.folds(_rows(t), "patient_id"),
     "a_gbm_population": _population,
     "a_scenarios": _scenarios,
+    "a_scenarios_hba1c": _population_scenarios,
     "a_arima": lambda t: arima.forecasts(t["fused"].select("patient_id", (F.unix_seconds(F.col("time").cast("timestamp")) / 300).cast("long").alias("place"), F.col("mg_dl").alias("value")), orders=((1, 0, 0), (2, 0, 0), (0, 1, 1), (1, 1, 1))),
     "a_linear": _linear,
     "a_linear_moments": lambda t: linear.moments(_rows(t), FEATURES, "target", "segment"),

@@ -116,3 +116,13 @@ def test_scenarios(spark, features, model):
     assert [(r.patient_id, r.minute) for r in scoring.glucose_scenarios(features, {"30": model}, {}, early).collect()] == [(0, 100)]
     with pytest.raises(ValueError):
         scoring.glucose_scenarios(features, {"30": model}, {"sleep": 1})
+
+
+def test_replaced_inputs(spark, features, model):
+    rows = features.withColumn("met_minutes_30", F.when(F.col("minute") % 10 == 0, 20.0)).limit(40)
+    got = scoring.what_if(rows, {"m": model}, {"met_minutes_30": F.lit(20.0), "heart_rate_30": F.lit(70.0)}).collect()
+    assert len(got) == 40
+    for r in got:  # heart rate is no feature of the model, so its change is none
+        same = r.minute % 10 == 0
+        assert r.inputs_changed == ([] if same else ["met_minutes_30"]) and r.met_minutes_30 == (20.0 if same else None)
+        assert not same or r.predicted.difference == 0
