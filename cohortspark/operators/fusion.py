@@ -18,6 +18,7 @@ REFERENCE_GAP, SECONDARY_GAP = 10, 20
 LAG_REACH, SENSOR_LAG = 120, 20
 GRID, WARMUP, LEAST, MAX_FACTOR = 5, 1440, 60, 25.0
 KEY = "patient_id"
+PACKED = "array<struct<m: bigint, x: double>>"
 
 
 def minute_series(native: DataFrame, max_gap: int) -> DataFrame:
@@ -40,12 +41,16 @@ def shifted(series: DataFrame, minutes: Column) -> DataFrame:
 def lags(reference: DataFrame, secondary: DataFrame, reach: int = LAG_REACH) -> DataFrame:
     """(patient_id, lag, r): minutes that the secondary minute series is late, by the greatest correlation; the first of equal ones.
 
-    Minutes meet in buckets of the reach: one side is dealt to three, so the shuffle carries each minute four times,
-    not once for every lag; correlations are aggregated before the next shuffle.
+    Both series are packed to arrays by bucket of the reach where their readings already are; a bucket meets the one before
+    it and the one after it by a window, so that nothing but the readings is shuffled, by patient.
     """
-    r = reference.select(KEY, F.col("minute").alias("t"), F.col("value").alias("a"), F.floor(F.col("minute") / reach).alias("b"))
-    s = secondary.select(KEY, F.col("minute").alias("u"), F.col("value").alias("v"), F.explode(F.array(*[F.floor(F.col("minute") / reach) + k for k in (-1, 0, 1)])).alias("b"))
-    met = r.join(s, [KEY, "b"]).where(F.abs(F.col("u") - F.col("t")) <= reach)
+    pack = lambda series, name, other: series.groupBy(KEY, F.floor(F.col("minute") / reach).alias("b")).agg(F.collect_list(F.struct(F.col("minute").cast("long").alias("m"), F.col("value").cast("double").alias("x"))).alias(name)).select(KEY, "b", name, F.lit(None).cast(PACKED).alias(other))
+    both = pack(reference, "r", "s").unionByName(pack(secondary, "s", "r")).groupBy(KEY, "b").agg(F.first("r", True).alias("r"), F.first("s", True).alias("s"))
+    w = Window.partitionBy(KEY).orderBy("b")
+    beside = lambda f, d: F.when(f("b").over(w) == F.col("b") + d, f("s").over(w))
+    near = F.flatten(F.array_compact(F.array(beside(F.lag, -1), F.col("s"), beside(F.lead, 1))))
+    met = both.withColumn("near", near).where("r is not null").select(KEY, "near", F.explode("r").alias("p")).select(KEY, F.col("p.m").alias("t"), F.col("p.x").alias("a"), F.explode("near").alias("q"))
+    met = met.select(KEY, "t", "a", F.col("q.m").alias("u"), F.col("q.x").alias("v")).where(F.abs(F.col("u") - F.col("t")) <= reach)
     by = met.groupBy(KEY, (F.col("u") - F.col("t")).cast("int").alias("lag")).agg(F.corr("a", "v").alias("r"), F.count("*").alias("n"))
     fine = by.where("n > 1 and r is not null and not isnan(r)").withColumn("r", C.rounded(F.col("r"), 9))
     return fine.groupBy(KEY).agg(F.min(F.struct((-F.col("r")).alias("m"), "lag")).alias("x")).select(KEY, F.col("x.lag").alias("lag"), (-F.col("x.m")).alias("r"))
@@ -58,9 +63,10 @@ def meal_peaks(minutes: DataFrame, meals: DataFrame, before: int = 15, after: in
     to it.
     """
     m = meals.distinct().withColumn("meal", F.col("minute")).withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("minute", F.col("minute") + F.col("offset"))
-    w = m.join(minutes, [KEY, "minute"])
-    level = w.groupBy(KEY, "meal").agg(F.count("value").alias("n"), F.avg(F.when(F.col("offset") <= 0, F.col("value"))).alias("base")).where(F.col("n") > 0.9 * (before + after + 1))
-    rise = w.join(level, [KEY, "meal"]).groupBy(KEY, "offset").agg(C.rounded(F.avg(F.col("value") - F.col("base")), 9).alias("rise"))
+    w = m.join(minutes.hint("merge"), [KEY, "minute"])  # sizes are estimated as before the rows multiply, so a broadcast would be far too large
+    meal = Window.partitionBy(KEY, "meal")
+    w = w.withColumn("n", F.count("value").over(meal)).withColumn("base", F.avg(F.when(F.col("offset") <= 0, F.col("value"))).over(meal)).where(F.col("n") > 0.9 * (before + after + 1))
+    rise = w.groupBy(KEY, "offset").agg(C.rounded(F.avg(F.col("value") - F.col("base")), 9).alias("rise"))
     return rise.where("rise is not null").groupBy(KEY).agg(F.min(F.struct((-F.col("rise")).alias("m"), "offset")).alias("x")).select(KEY, F.col("x.offset").alias("peak"))
 
 
@@ -101,7 +107,7 @@ def calibrated(reference: DataFrame, secondary: DataFrame, warmup: int = WARMUP,
     """
     r = minute_series(reference, REFERENCE_GAP).select(KEY, "minute", F.col("value").alias("r"))
     s = minute_series(secondary, SECONDARY_GAP).select(KEY, "minute", F.col("value").alias("s"))
-    both = r.join(s, [KEY, "minute"]).where(valid(F.col("r")) & valid(F.col("s"))).join(_starts(reference, secondary), KEY)
+    both = r.join(s.hint("merge"), [KEY, "minute"]).where(valid(F.col("r")) & valid(F.col("s"))).join(_starts(reference, secondary), KEY)
     both = both.withColumn("warm", (F.col("minute") < F.col("r0") + warmup) | (F.col("minute") < F.col("s0") + warmup))
     fit = both.where("not warm").groupBy(KEY).agg(F.count("*").alias("settled"), F.var_pop("s").alias("vx"), F.var_pop("r").alias("vy"), F.covar_pop("s", "r").alias("c"), F.avg("s").alias("mx"), F.avg("r").alias("my"))
     d = F.col("vy") - F.col("vx")
