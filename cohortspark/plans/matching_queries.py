@@ -36,9 +36,9 @@ def _partners(t):
 
 
 def _nearest_supplier(t):
-    s = t["supplier"].select("s_suppkey", "s_nationkey", "s_acctbal")
-    pairs = s.join(t["customer"], F.col("s_nationkey") == F.col("c_nationkey")).withColumn("gap", F.abs(F.col("s_acctbal") - F.col("c_acctbal")))
-    return M.greedy(pairs, "s_suppkey", "c_custkey", ["gap"])
+    s = t["supplier"].select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    c = t["customer"].select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    return M.greedy_near(s, c, "s_suppkey", "c_custkey", ["nation"], "balance")
 
 
 def _patients(t):
