@@ -7,6 +7,7 @@ Each table is SQL that Spark and the oracle both run; ``{...}`` marks the few sp
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPARK = {"ts": "TIMESTAMP_NTZ", "later": "timestampadd({unit}, cast({n} as int), {t})", "int": "INT", "mins": "timestampdiff(MINUTE, {a}, {b})"}
 DUCK = {"ts": "TIMESTAMP", "later": "({t} + to_{unit}s(CAST({n} AS INT)))", "int": "INTEGER", "mins": "date_diff('minute', {a}, {b})"}
@@ -74,6 +75,12 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return out
 
 
+def placed(t: dict[str, DataFrame], name: str, of: str) -> DataFrame:
+    """A table made of a raw table ``of`` by one SELECT over ``of`` and orders, with ``place``: where the row of ``of`` is stored."""
+    sql = tables(SPARK)[name].replace("SELECT ", "SELECT place, ", 1).replace(f"FROM {of} ", "FROM {of} ").replace("JOIN orders ", "JOIN {orders} ")
+    return t["orders"].sparkSession.sql(sql, of=t[of].withColumn("place", F.monotonically_increasing_id()), orders=t["orders"])
+
+
 def oracle_with(sql: str) -> str:
     """``sql`` after the tables it may use, for the oracle's dialect."""
     parts, need = tables(DUCK), sql
