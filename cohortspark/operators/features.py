@@ -146,13 +146,15 @@ def patient_static(t: Tables, as_of: str, coverage: float, wear: int, hr: int, g
 def running(spans: DataFrame, days: DataFrame) -> DataFrame:
     """(patient_id, day, what) of spans (patient_id, what, started_at, ended_at) that run on a day of ``days``.
 
-    A span is cut to the first and last day that its patient has and dealt to months, days are dealt to theirs: an
-    equi-join on patient and month, whatever the span's length.
+    A span is cut to the first and last day that its patient has and dealt to years, days are dealt to theirs: an equi-join
+    on patient and year. A year in which the patient has no day is left out, by
+    the patient's list of years.
     """
-    ends = days.groupBy("patient_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    s = spans.join(ends, "patient_id").withColumn("a", F.greatest(F.to_date("started_at"), F.col("lo"))).withColumn("b", F.least(F.coalesce(F.to_date("ended_at"), F.col("hi")), F.col("hi")))
-    s = s.where("a <= b").withColumn("month", F.explode(F.sequence(F.trunc("a", "MM"), F.trunc("b", "MM"), F.expr("interval 1 month"))))
-    return days.withColumn("month", F.trunc("day", "MM")).join(s, ["patient_id", "month"]).where((F.col("a") <= F.col("day")) & (F.col("b") >= F.col("day"))).select("patient_id", "day", "what")
+    ends = days.groupBy("patient_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.collect_set(F.year("day")).alias("years"))
+    s = spans.select("patient_id", "what", F.to_date("started_at").alias("a"), F.to_date("ended_at").alias("b")).join(ends, "patient_id")
+    s = s.withColumn("a", F.greatest("a", "lo")).withColumn("b", F.least(F.coalesce("b", "hi"), "hi")).where("a <= b")
+    s = s.select("patient_id", "what", "a", "b", F.explode(F.filter("years", lambda y: (y >= F.year("a")) & (y <= F.year("b")))).alias("year"))
+    return days.withColumn("year", F.year("day")).join(s, ["patient_id", "year"]).where((F.col("a") <= F.col("day")) & (F.col("b") >= F.col("day"))).select("patient_id", "day", "what")
 
 
 def patient_day(t: Tables, gap_s: float, beats: int) -> DataFrame:
