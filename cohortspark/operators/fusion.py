@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import clinical as C
 from cohortspark.functions import measures as M
+from cohortspark.operators.rounds import settled
 
 # Limits of the sensors, longest gaps, the search range and the grid, in mg/dL and minutes.
 LOW, HIGH = 40.0, 400.0
@@ -145,13 +146,16 @@ def single(reference: DataFrame) -> DataFrame:
 
 
 def run(reference: DataFrame, secondary: DataFrame, meals: DataFrame, reach: int = LAG_REACH, warmup: int = WARMUP, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(alignment with calibration, fused stream) of all patients: lags and peaks first, then their median, then the rest."""
+    """(alignment with calibration, fused stream) of all patients: lags and peaks first, then their median, then the rest.
+
+    The alignment and the calibration, one row a patient, are stored in between: later steps read each of them several times.
+    """
     r, s = minute_series(reference, REFERENCE_GAP), minute_series(secondary, SECONDARY_GAP)
     peaks = meal_peaks(r, meals).withColumnRenamed("peak", "reference_peak").join(meal_peaks(s, meals).withColumnRenamed("peak", "secondary_peak"), KEY, "full")
-    moves = alignment(lags(r, s, reach), peaks)
+    moves = settled(alignment(lags(r, s, reach), peaks))
     moved = lambda series, c: shifted(series.join(moves.select(KEY, c), KEY), F.col(c)).drop(c)
     ref, sec = moved(reference, "reference_shift"), moved(secondary, "secondary_shift")
-    calibration = calibrated(ref, sec, warmup, least)
+    calibration = settled(calibrated(ref, sec, warmup, least))
     return moves.join(calibration, KEY, "left"), fused(ref, sec, calibration, warmup)
 
 

@@ -29,3 +29,9 @@ def test_minutes_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in _plan(U.meal_peaks(r, _series(spark).where("minute % 50 = 0").select("patient_id", "minute"), 15, 45))
     both = _plan(U.calibrated(_series(spark), _series(spark, 3), 60, 30)).splitlines()
     assert not [x for x in both if "BroadcastHashJoin" in x and "minute" in x]
+
+
+def test_a_run_reads_its_alignment_from_a_stored_table(spark):
+    moves, stream = U.run(_series(spark), _series(spark, 7), _series(spark).where("minute % 50 = 0").select("patient_id", "minute"), 60, 60, 30)
+    assert not [x for x in _plan(moves).splitlines() + _plan(stream).splitlines() if "corr(" in x]
+    assert {(r.patient_id, r.lag, r.kind) for r in moves.collect()} == {(p, 7, "sensor_lag") for p in range(3)} and stream.count()
