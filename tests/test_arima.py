@@ -64,3 +64,21 @@ def test_series_of_all_patients(spark):
     x = np.array([dict((i, v) for p, i, v in rows if p == 2).get(i, np.nan) for i in range(20, 80)])
     means, sds = A.forecast(x, A.choose(x, ((1, 0, 0), (0, 1, 1))), 3)
     assert np.allclose([r["mean"] for r in sorted(got, key=lambda r: r.step) if r.patient_id == 2], means)
+
+
+@pytest.mark.parametrize("ar,ma", [([0.6], []), ([0.5, -0.3], []), ([], [0.4]), ([0.7], [-0.5])])
+def test_small_states_are_filtered_as_others(ar, ma):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=120)
+    x[::17] = np.nan
+    x[40:44] = np.nan
+    small = A.filtered(x, np.array(ar), np.array(ma))
+    large = A.filtered(x, np.array([*ar, *[0.0] * (3 - len(ar))]), np.array(ma))  # the same model with a state of three
+    for s, w in zip(small[:2], large[:2]):
+        np.testing.assert_allclose(s, w, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(small[2], large[2][: len(small[2])], rtol=1e-9, atol=1e-9)
+
+
+def test_fits_are_dealt_to_many_tasks(spark):
+    df = spark.createDataFrame([(p, i, float((i * 7 + p) % 13)) for p in range(40) for i in range(30)], "patient_id long, place long, value double")
+    assert A.forecasts(df, 2, orders=((1, 0, 0),)).rdd.getNumPartitions() >= 16
