@@ -7,6 +7,7 @@ from collections.abc import Callable
 from cohortspark.functions import measures as M
 from cohortspark.operators import record as R
 from cohortspark.plans.oracles import r
+from cohortspark.sources import proxy
 
 PLANS: dict[str, Callable] = {
     "r_visits": R.visits,
@@ -22,7 +23,7 @@ PLANS: dict[str, Callable] = {
     "r_tests": lambda t: R.tests_by_panel(t, True),
     "r_measure_detail": R.measure_detail,
     "r_visit_detail": R.visit_detail,
-    "r_overview": R.overview,
+    "r_overview": lambda t: R.overview(proxy.with_lines(t)),
     "r_measures_dim": lambda t: R.measures_dim(t["patient"].sparkSession),
 }
 

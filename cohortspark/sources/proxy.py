@@ -6,9 +6,13 @@ Each table is SQL that Spark and the oracle both run; ``{...}`` marks the few sp
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark.operators.rounds import folder
+
 SPARK = {"ts": "TIMESTAMP_NTZ", "later": "timestampadd({unit}, cast({n} as int), {t})", "int": "INT", "mins": "timestampdiff(MINUTE, {a}, {b})"}
 DUCK = {"ts": "TIMESTAMP", "later": "({t} + to_{unit}s(CAST({n} AS INT)))", "int": "INTEGER", "mins": "date_diff('minute', {a}, {b})"}
 
@@ -75,6 +79,23 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return out
 
 
+def with_lines(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``t`` with observation, result, diagnosis and medicine over one stored join of lines and orders, made now.
+
+    For queries that read several of these tables, each of which is that join: it is shuffled once instead of once a table.
+    """
+    spark, path = t["orders"].sparkSession, f"{folder(t['orders'].sparkSession)}/lines-{uuid4().hex}"
+    both = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+    both.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate", "o_custkey", "o_orderdate", "o_orderstatus").write.parquet(path)
+    made = tables(SPARK)
+    on = "lineitem JOIN orders ON l_orderkey = o_orderkey"
+    out = dict(t)
+    for name in ("observation", "diagnosis", "medicine"):
+        out[name] = spark.sql(made[name].replace(on, "{lines}"), lines=spark.read.parquet(path))
+    out["result"] = spark.sql(made["result"].replace("FROM observation", "FROM {observation}"), observation=out["observation"])
+    return out
+
+
 def placed(t: dict[str, DataFrame], name: str, of: str) -> DataFrame:
     """A table made of a raw table ``of`` by one SELECT over ``of`` and orders, with ``place``: where the row of ``of`` is stored."""
     sql = tables(SPARK)[name].replace("SELECT ", "SELECT place, ", 1).replace(f"FROM {of} ", "FROM {of} ").replace("JOIN orders ", "JOIN {orders} ")

@@ -1,8 +1,12 @@
 """What makes the record's queries heavy on large tables: rows in one task, passes over the tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from cohortspark.operators import record
+from cohortspark.plans import registry
+from cohortspark.sources import proxy
 
 
 def test_episodes_without_a_visit_are_dealt_out(spark):
@@ -21,3 +25,16 @@ def test_episodes_without_a_visit_are_dealt_out(spark):
     assert {r.episode_id: r.related_medications for r in got} == {i: 2 if i < 20 else 0 for i in range(4000)}
     parts = [r.part for r in got]
     assert max(parts.count(p) for p in set(parts)) < 2000
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_overview_joins_lines_and_orders_once(spark):
+    """Its tables are all of that join; the result reads it as stored, and results are dealt to patients only."""
+    t = proxy.views(spark, "/root/testdata/sf0.001")
+    plan = _plan(registry.queries()["r_overview"](spark, "/root/testdata/sf0.001"))
+    assert "l_returnflag" in plan and "lineitem.parquet" not in plan
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", _plan(record.measure_summary(t)))
+    assert not [d for d in dealt if "analyte" in d or "measure" in d]
