@@ -64,13 +64,20 @@ def _assembled(rows: DataFrame, features: Sequence[str], fills: Sequence[float])
     return VectorAssembler(inputCols=names, outputCol="_x").transform(rows.select("*", *parts)).drop(*names)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the folder of ``spark.checkpoint.dir``: what it is made of is worked out once."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def folds(rows: DataFrame, group: str, n: int = 5) -> DataFrame:
     """(group, fold) of every group, null included: folds 0 to n - 1 of near-equal rows, no group in two.
 
     Groups are dealt to and fro from the largest to the smallest, of equally large ones by their value. With fewer
-    groups than ``n`` every group is a fold.
+    groups than ``n`` every group is a fold. The rows are read once, for the groups' sizes, which are stored.
     """
-    sizes = rows.groupBy(group).count()
+    sizes = stored(rows.groupBy(group).count(), "sizes")
     many = sizes.count()
     n, parts = max(1, min(n, many)), 1 + many // GROUPS_A_PART
     part = F.pmod(F.xxhash64(group), F.lit(parts))
@@ -115,16 +122,14 @@ def fit(rows: DataFrame, features: Sequence[str], target: str, base: str | None
 def cross_fit(rows: DataFrame, features: Sequence[str], target: str, group: str, base: str | None = None, n: int = 5, how: Trees = Trees(), at_once: int = 2) -> tuple[DataFrame, list[Boosted]]:
     """Every row of ``rows`` with ``fold`` and ``pred``, told by the model of the other folds, and those models by fold.
 
-    Rows without a target are predicted and not learned from. The rows are stored once with their folds, in the folder
-    of ``spark.checkpoint.dir``, so that each pass reads columns and a lost executor costs its parts alone; ``at_once``
-    models are grown side by side. Fewer than two groups are an error. Columns called fold or pred are replaced.
+    Rows without a target are predicted and not learned from. The rows are read twice, so costly ones should be a stored
+    table, and stored once with their folds, in the folder of ``spark.checkpoint.dir``, so that each pass reads columns
+    and a lost executor costs its parts alone; ``at_once`` models are grown side by side. Fewer than two groups are an error. Columns called fold or pred are replaced.
     """
     spark = rows.sparkSession
     rows = rows.drop("fold", "pred")
     dealt = folds(rows, group, n).withColumnRenamed(group, "_group")
-    path = f"{folder(spark)}/folds-{uuid4().hex}"
-    rows.join(dealt, F.col(group).eqNullSafe(F.col("_group"))).drop("_group").write.parquet(path)
-    held = spark.read.parquet(path)
+    held = stored(rows.join(dealt, F.col(group).eqNullSafe(F.col("_group"))).drop("_group"), "folds")
     known = _known(held, target, base)
     seen = _seen(known, features, "fold")
     all_folds = sorted(r["fold"] for r in held.select("fold").distinct().collect())
