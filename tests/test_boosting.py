@@ -6,7 +6,8 @@ from oracle import same
 from pyspark.sql import functions as F
 
 from cohortspark.operators import boosting
-from cohortspark.plans import registry
+from cohortspark.plans import learn_queries, registry
+from cohortspark.sources import proxy
 
 HOW = boosting.Trees(rounds=15, depth=3, rate=0.3)
 SCHEMA = "who long, place long, now double, a double, gone double, holes double, target double"
@@ -76,3 +77,27 @@ def test_a_model_of_all_rows(rows, spark):
 def test_folds_match_sql(spark):
     sf = "/root/testdata/sf0.001"
     same(registry.queries()["a_gbm_folds"](spark, sf), registry.oracle_sql()["a_gbm_folds"], sf)
+
+
+def test_features_are_worked_out_once(spark, monkeypatch):
+    """Folds, both horizons and all trees read the stored features."""
+    made, real = spark.sparkContext.accumulator(0), learn_queries.job_queries.PLANS["a_features_forecast"]
+
+    def counted(t):
+        f = real(t)
+
+        def seen(parts):
+            for part in parts:
+                made.add(part.num_rows)
+                yield part
+
+        return f.mapInArrow(seen, f.schema)
+
+    monkeypatch.setitem(learn_queries.job_queries.PLANS, "a_features_forecast", counted)
+    monkeypatch.setattr(learn_queries, "TREES", boosting.Trees(rounds=1, depth=1))
+    t = proxy.views(spark, "/root/testdata/sf0.001")
+    rows = real(t).count()
+    for make in (learn_queries._boosted, learn_queries._stored):
+        made.value = 0
+        make(t)
+        assert made.value == rows
