@@ -8,6 +8,7 @@ from cohortspark.operators import features as V
 from cohortspark.operators import report
 from cohortspark.plans.oracles import _SPLIT, ACTIVITY, BASELINE, CGM_DAILY, CGM_WINDOW, NAMES, SLEEP, SQL as BASE, age, r
 from cohortspark.plans.oracles import signed as sg
+from cohortspark.sources import proxy
 
 AS_OF, NOW = "2026-01-01", "2024-03-09 04:00:00"
 #: Beats of the event stream are hours apart, so the filters are set to where they decide rows: some gaps and differences pass, some nights have enough beats.
@@ -25,7 +26,7 @@ PLANS: dict[str, Callable] = {
     "v_cgm_window": V.cgm_window,
     "v_replay_stream": V.replay_stream,
     "v_twin_latest": lambda t: V.live_latest(t, NOW),
-    "v_patient_static": lambda t: V.patient_static(t, AS_OF, 10.0, 5, 2, GAP_S, BEATS),
+    "v_patient_static": lambda t: V.patient_static(proxy.with_lines(t), AS_OF, 10.0, 5, 2, GAP_S, BEATS),
     "v_patient_day": lambda t: V.patient_day(t, GAP_S, BEATS),
     "v_series_5min": lambda t: V.series_5min(t, FIVE_GAP_S, FIVE_BEATS),
     "op_agg_array": lambda t: V.running(V.medication_regimen(t).select("patient_id", V.F.col("drug_class").alias("what"), "started_at", "ended_at"), t["encounter"].select("patient_id", V.F.to_date("started_at").alias("day")).distinct()).groupBy("patient_id", "day").agg(V.F.array_join(V.F.sort_array(V.F.collect_set("what")), ",").alias("classes")),

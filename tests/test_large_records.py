@@ -38,3 +38,7 @@ def test_the_overview_joins_lines_and_orders_once(spark):
     assert "l_returnflag" in plan and "lineitem.parquet" not in plan
     dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", _plan(record.measure_summary(t)))
     assert not [d for d in dealt if "analyte" in d or "measure" in d]
+
+
+def test_patient_features_join_lines_and_orders_once(spark):
+    assert "lineitem.parquet" not in _plan(registry.queries()["v_patient_static"](spark, "/root/testdata/sf0.001"))
