@@ -6,6 +6,7 @@ Each table is SQL that Spark and the oracle both run; ``{...}`` marks the few sp
 
 from __future__ import annotations
 
+import re
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,11 +77,31 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                     marked = marked[: -len(t)] + f"{{{t}}}"
         used = {t: df for t, df in needs.items() if f"{{{t}}}" in marked}
         out[name] = spark.sql(marked, **used)
+    out["visit_line"] = _visit_lines(out["orders"], out["lineitem"])
     return out
 
 
+def _visit_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Every encounter beside the records of each of its lines, ``result_``, ``diagnosis_`` and ``medicine_`` with the column's name; nulls if it has no line.
+
+    All are columns of one join, which a query of several shuffles once; it stays dealt by encounter, so counts an encounter need no other shuffle.
+    """
+    made, rows = tables(SPARK), orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    raw, out = rows.columns, []
+    for name in ("encounter", "diagnosis", "medicine", "observation", "result"):
+        columns = re.split(r"\sFROM\s", made[name].removeprefix("SELECT "))[0]
+        wide = orders.sparkSession.sql(f"SELECT *, {columns} FROM {{rows}}", rows=rows)
+        added = wide.columns[len(rows.columns) :]
+        if name == "observation":  # which is what a result is made of
+            rows = wide.toDF(*rows.columns, *[f"observation_{c}" if c in raw else c for c in added])
+            continue
+        rows = wide.toDF(*rows.columns, *[f"{name}_{c}" for c in added])
+        out += [F.col(f"{name}_{c}").alias(c if name == "encounter" else f"{name}_{c}") for c in added]
+    return rows.select(*out)
+
+
 def with_lines(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """``t`` with observation, result, diagnosis and medicine over one stored join of lines and orders, made now.
+    """``t`` with observation, result, diagnosis, medicine and visit_line over one stored join of lines and orders, made now.
 
     For queries that read several of these tables, each of which is that join: it is shuffled once instead of once a table.
     """
@@ -93,6 +114,8 @@ def with_lines(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     for name in ("observation", "diagnosis", "medicine"):
         out[name] = spark.sql(made[name].replace(on, "{lines}"), lines=spark.read.parquet(path))
     out["result"] = spark.sql(made["result"].replace("FROM observation", "FROM {observation}"), observation=out["observation"])
+    stored = spark.read.parquet(path)
+    out["visit_line"] = _visit_lines(t["orders"], stored.select([c for c in stored.columns if c.startswith("l_")]))
     return out
 
 

@@ -2,6 +2,7 @@
 
 import re
 
+from oracle import same
 from pyspark.sql import functions as F
 
 from cohortspark.operators import record
@@ -42,3 +43,41 @@ def test_the_overview_joins_lines_and_orders_once(spark):
 
 def test_patient_features_join_lines_and_orders_once(spark):
     assert "lineitem.parquet" not in _plan(registry.queries()["v_patient_static"](spark, "/root/testdata/sf0.001"))
+
+
+def _dense(spark, folder, keys=400):
+    """Tables in which many records end within visits, at their very bounds too, and values are missing."""
+    for t in ("region", "nation", "customer", "supplier", "part", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        (folder / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    o = spark.range(keys).selectExpr(
+        "id as o_orderkey", "nullif(id * 7 % 9, 8) as o_custkey", "substr('FOP', cast(id % 3 as int) + 1, 1) as o_orderstatus", "1.0d as o_totalprice",
+        "case when id % 61 > 0 then timestampadd(hour, cast(id * 37 % 45 * 6 as int), timestamp_ntz '2024-01-01') end as o_orderdate", "concat(id % 5 + 1, '-X') as o_orderpriority",
+    )
+    n = spark.range(5 * keys).selectExpr(
+        f"id * 31 % {keys + 20} as l_orderkey", "id * 13 % 97 as l_partkey", "id % 7 as l_suppkey", "cast(id % 7 + 1 as int) as l_linenumber", "nullif(cast(id % 8 as double), 7d) as l_quantity", "1d as l_extendedprice", "0d as l_discount", "0d as l_tax",
+        "substr('NRA', cast(id % 11 % 3 as int) + 1, 1) as l_returnflag", "'O' as l_linestatus", "case when id % 17 > 0 then timestampadd(hour, cast(id * 29 % 50 * 6 as int), timestamp_ntz '2024-01-01') end as l_shipdate",
+    ).where("l_orderkey % 10 <> 3")
+    o.write.parquet(f"{folder}/orders.parquet")
+    n.write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_ends_within_visits_are_counted_as_in_the_sql(spark, tmp_path):
+    """Visits of one moment, without lines, a date or a patient; ends at a visit's bounds and of its own records."""
+    made = _dense(spark, tmp_path)
+    for name in ("r_visit_detail", "r_visits", "r_overview"):
+        same(registry.queries()[name](spark, made), registry.oracle_sql()[name], made)
+    got = registry.queries()["r_visit_detail"](spark, made)
+    assert got.where("resolved > 3 and stopped > 3").count() > 50 and got.where("tests + diagnoses + medications = 0").count() >= 40
+
+
+def test_visits_and_their_records_are_one_join_dealt_once_to_patients(spark):
+    """Neither of the raw tables is read or dealt again for the next kind of record."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = {name: _plan(registry.queries()[name](spark, "/root/testdata/sf0.001")) for name in ("r_visits", "r_visit_detail")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = {name: [re.sub(r"#\d+L?", "", d) for d in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)] for name, plan in plans.items()}
+    assert dealt == {"r_visits": ["o_orderkey", "l_orderkey"], "r_visit_detail": ["patient_id", "o_orderkey", "l_orderkey"]}
