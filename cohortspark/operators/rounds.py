@@ -22,3 +22,8 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` stored in that folder."""
     folder(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, column: str) -> DataFrame:
+    """``df`` dealt by a column to all of the session's shuffle partitions, where its bytes do not tell what a task has to hold behind the shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)

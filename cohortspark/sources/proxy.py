@@ -12,7 +12,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.operators.rounds import folder
+from cohortspark.operators.rounds import dealt, folder
 
 SPARK = {"ts": "TIMESTAMP_NTZ", "later": "timestampadd({unit}, cast({n} as int), {t})", "int": "INT", "mins": "timestampdiff(MINUTE, {a}, {b})"}
 DUCK = {"ts": "TIMESTAMP", "later": "({t} + to_{unit}s(CAST({n} AS INT)))", "int": "INTEGER", "mins": "date_diff('minute', {a}, {b})"}
@@ -86,7 +86,7 @@ def _visit_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
     All are columns of one join, which a query of several shuffles once; it stays dealt by encounter, so counts an encounter need no other shuffle.
     """
-    made, rows = tables(SPARK), orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    made, rows = tables(SPARK), dealt(orders, "o_orderkey").join(dealt(lines, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     raw, out = rows.columns, []
     for name in ("encounter", "diagnosis", "medicine", "observation", "result"):
         columns = re.split(r"\sFROM\s", made[name].removeprefix("SELECT "))[0]
