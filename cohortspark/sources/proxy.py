@@ -84,10 +84,11 @@ def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def _visit_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """Every encounter beside the records of each of its lines, ``result_``, ``diagnosis_`` and ``medicine_`` with the column's name; nulls if it has no line.
 
-    All are columns of one join, which a query of several shuffles once; it stays dealt by encounter, so counts an encounter need no other shuffle.
+    ``visit_place`` tells encounters apart that repeat an id. All are columns of one join, which a query of several shuffles once; it stays dealt by encounter, so counts an encounter need no other shuffle.
     """
-    made, rows = tables(SPARK), dealt(orders, "o_orderkey").join(dealt(lines, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    raw, out = rows.columns, []
+    placed_orders = dealt(orders.withColumn("visit_place", F.monotonically_increasing_id()), "o_orderkey")
+    made, rows = tables(SPARK), placed_orders.join(dealt(lines, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    raw, out = rows.columns, [F.col("visit_place")]
     for name in ("encounter", "diagnosis", "medicine", "observation", "result"):
         columns = re.split(r"\sFROM\s", made[name].removeprefix("SELECT "))[0]
         wide = orders.sparkSession.sql(f"SELECT *, {columns} FROM {{rows}}", rows=rows)

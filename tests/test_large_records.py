@@ -71,6 +71,16 @@ def test_ends_within_visits_are_counted_as_in_the_sql(spark, tmp_path):
     assert got.where("resolved > 3 and stopped > 3").count() > 50 and got.where("tests + diagnoses + medications = 0").count() >= 40
 
 
+def test_visits_that_repeat_an_id_stay(spark, tmp_path):
+    """Two equal visits, and one id at two patients: all are rows, with every record of the id."""
+    made = _dense(spark, tmp_path)
+    o = spark.read.parquet(f"{made}/orders.parquet")
+    o.where("o_orderkey between 100 and 110").union(o.where("o_orderkey between 200 and 210").withColumn("o_custkey", F.lit(7).cast("long"))).write.mode("append").parquet(f"{made}/orders.parquet")
+    same(registry.queries()["r_visits"](spark, made), registry.oracle_sql()["r_visits"], made)
+    cut = "SELECT patient_id, encounter_id, tests, diagnoses, medications FROM"
+    same(registry.queries()["r_visit_detail"](spark, made).select("patient_id", "encounter_id", "tests", "diagnoses", "medications"), f"{cut} ({registry.oracle_sql()['r_visit_detail']})", made)
+
+
 def test_visits_and_their_records_are_one_join_dealt_once_to_patients(spark):
     """Neither of the raw tables is read or dealt again for the next kind of record."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
