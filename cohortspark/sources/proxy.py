@@ -121,9 +121,12 @@ def with_lines(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def placed(t: dict[str, DataFrame], name: str, of: str) -> DataFrame:
-    """A table made of a raw table ``of`` by one SELECT over ``of`` and orders, with ``place``: where the row of ``of`` is stored."""
+    """A table made of a raw table ``of`` by one SELECT over ``of`` and orders, with ``place``: the file of a row of ``of``, then its number there.
+
+    Spark deals files to tasks by their size, so no number that it gives to rows follows the files' order.
+    """
     sql = tables(SPARK)[name].replace("SELECT ", "SELECT place, ", 1).replace(f"FROM {of} ", "FROM {of} ").replace("JOIN orders ", "JOIN {orders} ")
-    return t["orders"].sparkSession.sql(sql, of=t[of].withColumn("place", F.monotonically_increasing_id()), orders=t["orders"])
+    return t["orders"].sparkSession.sql(sql, of=t[of].withColumn("place", F.struct("_metadata.file_path", "_metadata.row_index")), orders=t["orders"])
 
 
 def oracle_with(sql: str) -> str:
