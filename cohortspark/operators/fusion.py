@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions import clinical as C
 from cohortspark.functions import measures as M
+from cohortspark.operators.beside import best_lag, by_patient, peak
 from cohortspark.operators.rounds import settled
 
 # Limits of the sensors, longest gaps, the search range and the grid, in mg/dL and minutes.
@@ -19,7 +20,6 @@ REFERENCE_GAP, SECONDARY_GAP = 10, 20
 LAG_REACH, SENSOR_LAG = 120, 20
 GRID, WARMUP, LEAST, MAX_FACTOR = 5, 1440, 60, 25.0
 KEY = "patient_id"
-PACKED = "array<struct<m: bigint, x: double>>"
 
 
 def minute_series(native: DataFrame, max_gap: int) -> DataFrame:
@@ -42,19 +42,9 @@ def shifted(series: DataFrame, minutes: Column) -> DataFrame:
 def lags(reference: DataFrame, secondary: DataFrame, reach: int = LAG_REACH) -> DataFrame:
     """(patient_id, lag, r): minutes that the secondary minute series is late, by the greatest correlation; the first of equal ones.
 
-    Both series are packed to arrays by bucket of the reach where their readings already are; a bucket meets the one before
-    it and the one after it by a window, so that nothing but the readings is shuffled, by patient.
+    Both series are packed to arrays where their readings already are, so that nothing but the readings is shuffled, by patient.
     """
-    pack = lambda series, name, other: series.groupBy(KEY, F.floor(F.col("minute") / reach).alias("b")).agg(F.collect_list(F.struct(F.col("minute").cast("long").alias("m"), F.col("value").cast("double").alias("x"))).alias(name)).select(KEY, "b", name, F.lit(None).cast(PACKED).alias(other))
-    both = pack(reference, "r", "s").unionByName(pack(secondary, "s", "r")).groupBy(KEY, "b").agg(F.first("r", True).alias("r"), F.first("s", True).alias("s"))
-    w = Window.partitionBy(KEY).orderBy("b")
-    beside = lambda f, d: F.when(f("b").over(w) == F.col("b") + d, f("s").over(w))
-    near = F.flatten(F.array_compact(F.array(beside(F.lag, -1), F.col("s"), beside(F.lead, 1))))
-    met = both.withColumn("near", near).where("r is not null").select(KEY, "near", F.explode("r").alias("p")).select(KEY, F.col("p.m").alias("t"), F.col("p.x").alias("a"), F.explode("near").alias("q"))
-    met = met.select(KEY, "t", "a", F.col("q.m").alias("u"), F.col("q.x").alias("v")).where(F.abs(F.col("u") - F.col("t")) <= reach)
-    by = met.groupBy(KEY, (F.col("u") - F.col("t")).cast("int").alias("lag")).agg(F.corr("a", "v").alias("r"), F.count("*").alias("n"))
-    fine = by.where("n > 1 and r is not null and not isnan(r)").withColumn("r", C.rounded(F.col("r"), 9))
-    return fine.groupBy(KEY).agg(F.min(F.struct((-F.col("r")).alias("m"), "lag")).alias("x")).select(KEY, F.col("x.lag").alias("lag"), (-F.col("x.m")).alias("r"))
+    return by_patient({"r": reference, "s": secondary}, KEY, lambda r, s: best_lag(r, s, reach), "lag int, r double")
 
 
 def meal_peaks(minutes: DataFrame, meals: DataFrame, before: int = 15, after: int = 180) -> DataFrame:

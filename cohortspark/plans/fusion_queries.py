@@ -62,7 +62,7 @@ def _fused(t):
 PLANS: dict[str, Callable] = {
     "a_minute_series": lambda t: _minutes(t)[0].withColumn("value", U.C.rounded(F.col("value"), 6)),
     "a_shift": lambda t: U.shifted(_ref(t), -F.col("patient_id") % 7),
-    "a_lag": lambda t: U.lags(*_minutes(t), REACH).select("patient_id", "lag", U.C.rounded(F.col("r"), 6).alias("r")),
+    "a_lag": lambda t: U.lags(*_minutes(t)).select("patient_id", "lag", U.C.rounded(F.col("r"), 6).alias("r")),
     "a_meal_peak": lambda t: U.meal_peaks(_minutes(t)[0], _meals(t), 15, 45),
     "a_align": lambda t: U.alignment(U.lags(*_minutes(t), REACH), _peaks(t)),
     "a_deming": lambda t: _calibration(t).select("patient_id", U.C.rounded(F.col("slope"), 6).alias("slope"), "settled"),
@@ -88,10 +88,16 @@ def _signed(x: str, digits: int) -> str:
 
 
 R1, S1 = _series(REF, 10), _series(SEC, 20)
-LAGS = f"""SELECT DISTINCT ON (patient_id) patient_id, lag, r FROM (SELECT a.patient_id, CAST(b.minute - a.minute AS INTEGER) AS lag, {_signed('corr(a.value, b.value)', 9)} AS r, count(*) AS n FROM ({R1}) a JOIN ({S1}) b ON a.patient_id = b.patient_id AND b.minute BETWEEN a.minute - {REACH} AND a.minute + {REACH} GROUP BY 1, 2)
+
+
+def _lags(reach: int) -> str:
+    return f"""SELECT DISTINCT ON (patient_id) patient_id, lag, r FROM (SELECT a.patient_id, CAST(b.minute - a.minute AS INTEGER) AS lag, {_signed('corr(a.value, b.value)', 9)} AS r, count(*) AS n FROM ({R1}) a JOIN ({S1}) b ON a.patient_id = b.patient_id AND b.minute BETWEEN a.minute - {reach} AND a.minute + {reach} GROUP BY 1, 2)
  WHERE n > 1 AND r IS NOT NULL AND NOT isnan(r) ORDER BY patient_id, r DESC, lag"""
 
 
+LAGS = _lags(REACH)
+
+
 def _peak(series: str) -> str:
     return f"""SELECT DISTINCT ON (patient_id) patient_id, CAST(off AS INTEGER) AS peak FROM (SELECT patient_id, off, {_signed('avg(value - base)', 9)} AS rise FROM (SELECT m.patient_id, m.minute AS meal, s.minute - m.minute AS off, s.value, count(*) OVER (PARTITION BY m.patient_id, m.minute) AS n, avg(s.value) FILTER (s.minute <= m.minute) OVER (PARTITION BY m.patient_id, m.minute) AS base
  FROM ({MEALS}) m JOIN ({series}) s ON s.patient_id = m.patient_id AND s.minute BETWEEN m.minute - 15 AND m.minute + 45) WHERE n > 0.9 * 61 GROUP BY 1, 2) WHERE rise IS NOT NULL ORDER BY patient_id, rise DESC, off"""
@@ -124,7 +130,7 @@ def _mard(series: str, name: str) -> str:
 SQL: dict[str, str] = {
     "a_minute_series": f"SELECT patient_id, minute, {r('value', 6)} AS value FROM ({R1})",
     "a_shift": f"SELECT patient_id, minute + (-patient_id) % 7 AS minute, value FROM ({REF})",
-    "a_lag": f"SELECT patient_id, lag, {_signed('r', 6)} AS r FROM ({LAGS})",
+    "a_lag": f"SELECT patient_id, lag, {_signed('r', 6)} AS r FROM ({_lags(U.LAG_REACH)})",
     "a_meal_peak": _peak(R1),
     "a_align": ALIGN,
     "a_deming": f"{_WITH} SELECT patient_id, {r('slope', 6)} AS slope, settled FROM cal",
