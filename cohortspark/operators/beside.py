@@ -21,6 +21,16 @@ def rounded(x: np.ndarray, digits: int = 9) -> np.ndarray:
     return np.sign(x) * (np.floor(np.abs(x) * 10**digits + 0.5) / 10**digits) + 0.0
 
 
+def minute_values(series: Series, max_gap: int) -> Series:
+    """One value a minute between readings at most ``max_gap`` minutes apart, on the line between them."""
+    m, x = series
+    gap = np.append(np.diff(m), 1)[: len(m)]
+    n = np.where(gap <= max_gap, gap, 1)
+    i, of = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(len(m)), n)
+    rise = np.append(np.diff(x), 0.0)[: len(m)]
+    return m[of] + i, np.where(i == 0, x[of], x[of] + rise[of] * i / gap[of])
+
+
 def _matches(at: np.ndarray, minutes: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of all pairs in which the sorted ``minutes[j]`` is from ``at[i] + low`` to ``at[i] + high``."""
     first = np.searchsorted(minutes, at + low, "left")

@@ -6,12 +6,13 @@ and aggregates keyed by patient; nothing is collected.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions import clinical as C
 from cohortspark.functions import measures as M
-from cohortspark.operators.beside import best_lag, by_patient, peak
+from cohortspark.operators.beside import best_lag, by_patient, minute_values, peak
 from cohortspark.operators.rounds import settled
 
 # Limits of the sensors, longest gaps, the search range and the grid, in mg/dL and minutes.
@@ -52,13 +53,26 @@ def meal_peaks(minutes: DataFrame, meals: DataFrame, before: int = 15, after: in
 
     A meal counts if more than nine tenths of its minutes have a value; its rise starts at the mean of the minutes up
     to it.
+    Series and meals are packed to arrays where they are.
     """
-    m = meals.distinct().withColumn("meal", F.col("minute")).withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("minute", F.col("minute") + F.col("offset"))
-    w = m.join(minutes.hint("merge"), [KEY, "minute"])  # sizes are estimated as before the rows multiply, so a broadcast would be far too large
-    meal = Window.partitionBy(KEY, "meal")
-    w = w.withColumn("n", F.count("value").over(meal)).withColumn("base", F.avg(F.when(F.col("offset") <= 0, F.col("value"))).over(meal)).where(F.col("n") > 0.9 * (before + after + 1))
-    rise = w.groupBy(KEY, "offset").agg(C.rounded(F.avg(F.col("value") - F.col("base")), 9).alias("rise"))
-    return rise.where("rise is not null").groupBy(KEY).agg(F.min(F.struct((-F.col("rise")).alias("m"), "offset")).alias("x")).select(KEY, F.col("x.offset").alias("peak"))
+    eaten = meals.distinct().select(KEY, "minute", F.lit(0.0).alias("value"))
+
+    def tell(series, eaten):
+        top = peak(series, eaten[0], before, after)
+        return None if top is None else (top,)
+
+    return by_patient({"v": minutes, "e": eaten}, KEY, tell, "peak int")
+
+
+def lag_and_peaks(reference: DataFrame, secondary: DataFrame, meals: DataFrame, reach: int = LAG_REACH, before: int = 15, after: int = 180) -> DataFrame:
+    """(patient_id, lag, reference_peak, secondary_peak) of native readings: what ``lags`` and ``meal_peaks`` tell of their minute series, in one pass."""
+
+    def tell(r, s, eaten):
+        r, s, at = minute_values(r, REFERENCE_GAP), minute_values(s, SECONDARY_GAP), np.unique(eaten[0])
+        found = best_lag(r, s, reach)
+        return found and (found[0], peak(r, at, before, after), peak(s, at, before, after))
+
+    return by_patient({"r": reference, "s": secondary, "e": meals.select(KEY, "minute", F.lit(0.0).alias("value"))}, KEY, tell, "lag int, reference_peak int, secondary_peak int")
 
 
 def alignment(lag: DataFrame, peaks: DataFrame) -> DataFrame:
@@ -85,6 +99,13 @@ def valid(x: Column) -> Column:
     return (x > LOW) & (x < HIGH)
 
 
+def _beside(reference: DataFrame, secondary: DataFrame, r: str, s: str) -> DataFrame:
+    """(patient_id, minute, r, s) of the minutes of either series; where both are dealt by patient they stay so, which a join on both keys would undo."""
+    none = F.lit(None).cast("double")
+    rows = reference.select(KEY, "minute", F.col("value").alias(r), none.alias(s)).unionByName(secondary.select(KEY, "minute", none.alias(r), F.col("value").alias(s)))
+    return rows.groupBy(KEY, "minute").agg(F.max(r).alias(r), F.max(s).alias(s))
+
+
 def _starts(reference: DataFrame, secondary: DataFrame) -> DataFrame:
     first = lambda s, name: s.groupBy(KEY).agg(F.min("minute").alias(name))
     return first(reference, "r0").join(first(secondary, "s0"), KEY, "full")
@@ -96,28 +117,30 @@ def calibrated(reference: DataFrame, secondary: DataFrame, warmup: int = WARMUP,
     A Deming line over the valid common minutes after both warm-ups; patients with fewer than ``least`` of them have
     none. The warm-up's variance factor compares robust spreads, which need the line and then the medians.
     """
-    r = minute_series(reference, REFERENCE_GAP).select(KEY, "minute", F.col("value").alias("r"))
-    s = minute_series(secondary, SECONDARY_GAP).select(KEY, "minute", F.col("value").alias("s"))
-    both = r.join(s.hint("merge"), [KEY, "minute"]).where(valid(F.col("r")) & valid(F.col("s"))).join(_starts(reference, secondary), KEY)
+    both = _beside(minute_series(reference, REFERENCE_GAP), minute_series(secondary, SECONDARY_GAP), "r", "s").where(valid(F.col("r")) & valid(F.col("s")))
+    both = both.join(_starts(reference, secondary), KEY)
     both = both.withColumn("warm", (F.col("minute") < F.col("r0") + warmup) | (F.col("minute") < F.col("s0") + warmup))
-    fit = both.where("not warm").groupBy(KEY).agg(F.count("*").alias("settled"), F.var_pop("s").alias("vx"), F.var_pop("r").alias("vy"), F.covar_pop("s", "r").alias("c"), F.avg("s").alias("mx"), F.avg("r").alias("my"))
+    cool = lambda f, *c: f(*[F.when(~F.col("warm"), F.col(x)) for x in c]).over(Window.partitionBy(KEY))
+    fit = both.select(KEY, "warm", "r", "s", cool(F.count, "r").alias("settled"), cool(F.var_pop, "s").alias("vx"), cool(F.var_pop, "r").alias("vy"), cool(F.covar_pop, "s", "r").alias("c"), cool(F.avg, "s").alias("mx"), cool(F.avg, "r").alias("my"))
     d = F.col("vy") - F.col("vx")
     fit = fit.where(F.col("settled") >= least).withColumn("slope", (d + F.sqrt(d * d + 4 * F.col("c") * F.col("c"))) / F.nullif(2 * F.col("c"), F.lit(0.0)))
-    fit = fit.select(KEY, "settled", "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"))
-    off = both.join(fit, KEY).withColumn("off", F.col("r") - (F.col("intercept") + F.col("slope") * F.col("s")))
-    mid = off.groupBy(KEY, "warm").agg(F.median("off").alias("mid"))
-    spread = off.join(mid, [KEY, "warm"]).groupBy(KEY, "warm").agg(F.count("*").alias("n"), (1.4826 * F.median(F.abs(F.col("off") - F.col("mid")))).alias("sd"))
+    fit = fit.withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
+    off = fit.withColumn("off", F.col("r") - (F.col("intercept") + F.col("slope") * F.col("s")))
+    line = [F.first(c).alias(c) for c in ("intercept", "slope", "settled")]
+    mid = off.groupBy(KEY, "warm").agg(*line, F.count("*").alias("n"), F.median("off").alias("mid"), F.collect_list("off").alias("offs"))
+    apart = mid.select(KEY, "warm", "intercept", "slope", "settled", "n", F.explode_outer(F.transform("offs", lambda x: F.abs(x - F.col("mid")))).alias("apart"))
+    spread = apart.groupBy(KEY, "warm").agg(*line, F.first("n").alias("n"), (1.4826 * F.median("apart")).alias("sd"))
     at = lambda warm, c: F.max(F.when(F.col("warm") == warm, F.col(c)))
-    wide = spread.groupBy(KEY).agg(at(False, "sd").alias("sd"), at(True, "sd").alias("warm_sd"), at(True, "n").alias("warm_n"))
+    wide = spread.groupBy(KEY).agg(*line, at(False, "sd").alias("sd"), at(True, "sd").alias("warm_sd"), at(True, "n").alias("warm_n"))
     ratio = F.col("warm_sd") / F.nullif(F.col("sd"), F.lit(0.0))
     factor = F.when((F.col("warm_n") >= least) & (F.col("sd") > 0), M.clip(2 * ratio * ratio - 1, 1.0, MAX_FACTOR)).otherwise(1.0)
-    return fit.join(wide, KEY).select(KEY, "intercept", "slope", "settled", "sd", factor.alias("factor"))
+    return wide.select(KEY, "intercept", "slope", "settled", "sd", factor.alias("factor"))
 
 
 def fused(reference: DataFrame, secondary: DataFrame, calibration: DataFrame, warmup: int = WARMUP) -> DataFrame:
     """(patient_id, minute, glucose, source, censored) every five minutes: weighted by the warm-up's variance where both are valid."""
-    on_grid = lambda s, gap, name: minute_series(s, gap).where(F.col("minute") % GRID == 0).select(KEY, "minute", F.col("value").alias(name))
-    j = on_grid(reference, REFERENCE_GAP, "r").join(on_grid(secondary, SECONDARY_GAP, "raw"), [KEY, "minute"], "full").join(calibration, KEY).join(_starts(reference, secondary), KEY)
+    on_grid = lambda s, gap: minute_series(s, gap).where(F.col("minute") % GRID == 0)
+    j = _beside(on_grid(reference, REFERENCE_GAP), on_grid(secondary, SECONDARY_GAP), "r", "raw").join(calibration, KEY).join(_starts(reference, secondary), KEY)
     j = j.withColumn("s", F.col("intercept") + F.col("slope") * F.col("raw"))
     r_ok, s_ok = F.coalesce(valid(F.col("r")), F.lit(False)), F.coalesce(valid(F.col("raw")), F.lit(False))
     weight = lambda start: F.when(F.col("minute") < F.col(start) + warmup, 1 / F.col("factor")).otherwise(1.0)
@@ -138,11 +161,11 @@ def single(reference: DataFrame) -> DataFrame:
 def run(reference: DataFrame, secondary: DataFrame, meals: DataFrame, reach: int = LAG_REACH, warmup: int = WARMUP, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(alignment with calibration, fused stream) of all patients: lags and peaks first, then their median, then the rest.
 
-    The alignment and the calibration, one row a patient, are stored in between: later steps read each of them several times.
+    What is found out of each patient, the alignment and the calibration, one row a patient, are stored in between: later steps
+    read each of them several times. Readings alone are shuffled, by patient.
     """
-    r, s = minute_series(reference, REFERENCE_GAP), minute_series(secondary, SECONDARY_GAP)
-    peaks = meal_peaks(r, meals).withColumnRenamed("peak", "reference_peak").join(meal_peaks(s, meals).withColumnRenamed("peak", "secondary_peak"), KEY, "full")
-    moves = settled(alignment(lags(r, s, reach), peaks))
+    found = settled(lag_and_peaks(reference, secondary, meals, reach))
+    moves = settled(alignment(found.select(KEY, "lag"), found.drop("lag")))
     moved = lambda series, c: shifted(series.join(moves.select(KEY, c), KEY), F.col(c)).drop(c)
     ref, sec = moved(reference, "reference_shift"), moved(secondary, "secondary_shift")
     calibration = settled(calibrated(ref, sec, warmup, least))

@@ -1,5 +1,7 @@
 """Steps of the fusion over series that grow after their size was estimated: no broadcast, and no shuffle of minutes for lags."""
 
+import re
+
 import numpy as np
 import pytest
 from cohortspark.operators import beside
@@ -72,3 +74,30 @@ def test_best_lag_is_that_of_all_pairs(seed, monkeypatch):
     assert beside.best_lag((m, x), (u, y), 30) == (lag, -r)
     assert beside.best_lag((m[:1], x[:1]), (u, y), 30) is None or len(set(u)) < len(u)
     assert beside.best_lag((m, x * 0), (u, y), 30) is None and beside.best_lag((m[:0], x[:0]), (u, y), 30) is None
+
+
+def test_a_run_shuffles_readings_alone(spark):
+    """Calibration, blending and meal peaks make no join on patient and minute, and shuffle no minutes."""
+    a, b, meals = _series(spark), _series(spark, 7), _series(spark).where("minute % 50 = 0").select("patient_id", "minute")
+    fit = U.calibrated(a, b, 60, 30)
+    for df in (fit, U.fused(a, b, fit, 60), U.meal_peaks(U.minute_series(a, 10), meals)):
+        assert not re.findall(r"Join \[[^\]]*minute", _plan(df))
+    assert _plan(fit).count("Exchange hashpartitioning") <= 5 and _plan(U.lag_and_peaks(a, b, meals)).count("Exchange") <= 3
+
+
+def test_one_pass_tells_what_the_steps_tell(spark):
+    a, b, meals = _series(spark), _series(spark, 7), _series(spark).where("minute % 50 = 0").select("patient_id", "minute")
+    r, s = U.minute_series(a, 10), U.minute_series(b, 20)
+    want = {x.patient_id: (x.lag, None, None) for x in U.lags(r, s, 60).collect()}
+    for i, series in ((1, r), (2, s)):
+        for x in U.meal_peaks(series, meals, 15, 45).collect():
+            want[x.patient_id] = (*want[x.patient_id][:i], x.peak, *want[x.patient_id][i + 1 :])
+    got = {x.patient_id: (x.lag, x.reference_peak, x.secondary_peak) for x in U.lag_and_peaks(a, b, meals, 60, 15, 45).collect()}
+    assert got == want and all(None not in v for v in got.values())
+
+
+def test_peak_without_a_full_meal():
+    m = np.arange(100)
+    assert beside.peak((m, m * 1.0), np.array([20, 95]), 5, 10) == 10
+    assert beside.peak((m, m * 1.0), np.array([98]), 5, 10) is None and beside.peak((m[:0], m[:0] * 1.0), np.array([3]), 5, 10) is None
+    assert beside.peak((m, m * 1.0), np.array([], dtype=int), 5, 10) is None
