@@ -70,7 +70,7 @@ def publish(spark: SparkSession, root: str, models: dict[str, Boosted], contract
         raise FileExistsError(f"version {version} is there already")
     for name, m in models.items():
         m.trees.write().save(f"{at}/models/{name}")
-    about = {name: {"features": m.features, "dropped": m.dropped, "fills": m.fills, "base": m.base} for name, m in models.items()}
+    about = {name: {"features": m.features, "dropped": m.dropped, "fills": m.fills, "base": m.base, "marked": m.marked} for name, m in models.items()}
     _put(spark, f"{at}/{META}", json.dumps({"format": FORMAT, "version": version, "contract": contract, "models": about, "checksums": _sums(spark, f"{at}/models")}, indent=2))
     if current:
         use(spark, root, version)
@@ -99,5 +99,5 @@ def load(spark: SparkSession, root: str, expected: dict, version: str | None = N
             raise Refused(f"{key} is {meta['contract'].get(key)!r}, not {expected.get(key)!r}")
     if _sums(spark, f"{at}/models") != meta["checksums"]:
         raise Refused(f"files of version {version} are not those that were stored")
-    read = lambda n, m: Boosted(tuple(m["features"]), tuple(m["dropped"]), tuple(m["fills"]), m["base"], GBTRegressionModel.load(f"{at}/models/{n}"))
+    read = lambda n, m: Boosted(tuple(m["features"]), tuple(m["dropped"]), tuple(m["fills"]), m["base"], GBTRegressionModel.load(f"{at}/models/{n}"), None if m.get("marked") is None else tuple(m["marked"]))
     return {n: read(n, m) for n, m in meta["models"].items()}, meta

@@ -36,7 +36,8 @@ class Trees:
 class Boosted:
     """Trees over ``features``; a missing value is its feature's mean of the rows fitted on, beside a mark that it was missing.
 
-    ``dropped`` are features without any value in those rows. With ``base`` the trees say what is added to that column.
+    Only ``marked`` features have a mark, those with a missing value in the rows fitted on (None: all): no tree splits on
+    a mark that is never set, but each would count it in every pass. ``dropped`` are features without any value in those rows. With ``base`` the trees say what is added to that column.
     """
 
     features: tuple[str, ...]
@@ -44,10 +45,11 @@ class Boosted:
     fills: tuple[float, ...]
     base: str | None
     trees: GBTRegressionModel
+    marked: tuple[str, ...] | None = None
 
     def predict(self, rows: DataFrame, name: str = "pred") -> DataFrame:
         """``rows`` with the prediction: null where the base is null."""
-        out = self.trees.transform(_assembled(rows, self.features, self.fills))
+        out = self.trees.transform(_assembled(rows, self.features, self.fills, self.marked))
         p = F.col("_told") + F.col(self.base).cast("double") if self.base else F.col("_told")
         return out.select(*[c for c in rows.columns if c != name], p.alias(name))
 
@@ -58,10 +60,15 @@ def _value(name: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def _assembled(rows: DataFrame, features: Sequence[str], fills: Sequence[float]) -> DataFrame:
-    parts = [c for i, (n, v) in enumerate(zip(features, fills)) for c in (F.coalesce(_value(n), F.lit(v)).alias(f"_v{i}"), _value(n).isNull().cast("double").alias(f"_m{i}"))]
-    names = [f"_{k}{i}" for i in range(len(features)) for k in "vm"]
-    return VectorAssembler(inputCols=names, outputCol="_x").transform(rows.select("*", *parts)).drop(*names)
+def _assembled(rows: DataFrame, features: Sequence[str], fills: Sequence[float], marked: Sequence[str] | None = None) -> DataFrame:
+    parts = []
+    for i, (n, v) in enumerate(zip(features, fills)):
+        parts.append(F.coalesce(_value(n), F.lit(v)).alias(f"_v{i}"))
+        if marked is None or n in marked:
+            parts.append(_value(n).isNull().cast("double").alias(f"_m{i}"))
+    made = rows.select("*", *parts)
+    names = made.columns[len(rows.columns) :]
+    return VectorAssembler(inputCols=names, outputCol="_x").transform(made).drop(*names)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -87,20 +94,22 @@ def folds(rows: DataFrame, group: str, n: int = 5) -> DataFrame:
 
 
 def _seen(rows: DataFrame, features: Sequence[str], by: str) -> dict[int, list[tuple[int, float]]]:
-    """Count and sum of every feature's values by fold: one row a fold."""
-    got = rows.groupBy(by).agg(*[c for i, n in enumerate(features) for c in (F.count(_value(n)).alias(f"n{i}"), F.sum(_value(n)).alias(f"s{i}"))]).collect()
-    return {r[by]: [(r[f"n{i}"], r[f"s{i}"] or 0.0) for i in range(len(features))] for r in got}
+    """Count and sum of every feature's values by fold, then the count of rows: one row a fold."""
+    got = rows.groupBy(by).agg(F.count("*").alias("n"), *[c for i, n in enumerate(features) for c in (F.count(_value(n)).alias(f"n{i}"), F.sum(_value(n)).alias(f"s{i}"))]).collect()
+    return {r[by]: [*[(r[f"n{i}"], r[f"s{i}"] or 0.0) for i in range(len(features))], (r["n"], 0.0)] for r in got}
 
 
 def _fit(rows: DataFrame, seen: list[tuple[int, float]], features: Sequence[str], target: str, base: str | None, how: Trees) -> Boosted:
+    *seen, (many, _) = seen
     use = [i for i, (n, _) in enumerate(seen) if n]
     if not use:
         raise ValueError("no feature has a value")
     names, fills = [features[i] for i in use], [seen[i][1] / seen[i][0] for i in use]
     y = F.col(target).cast("double") - F.col(base).cast("double") if base else F.col(target).cast("double")
-    data = _assembled(rows.withColumn("_y", y), names, fills).select("_x", "_y")
+    marked = tuple(features[i] for i in use if seen[i][0] < many)
+    data = _assembled(rows.withColumn("_y", y), names, fills, marked).select("_x", "_y")
     trees = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="_told", maxIter=how.rounds, maxDepth=how.depth, stepSize=how.rate, maxBins=how.bins, minInstancesPerNode=how.least_rows, seed=how.seed)
-    return Boosted(tuple(names), tuple(f for i, f in enumerate(features) if i not in use), tuple(fills), base, trees.fit(data))
+    return Boosted(tuple(names), tuple(f for i, f in enumerate(features) if i not in use), tuple(fills), base, trees.fit(data), marked)
 
 
 def _known(rows: DataFrame, target: str, base: str | None) -> DataFrame:
@@ -140,7 +149,7 @@ def cross_fit(rows: DataFrame, features: Sequence[str], target: str, group: str,
         others = [v for f, v in seen.items() if f != k]
         if not others:
             raise ValueError(f"no rows to fit on beside fold {k}")
-        total = [(sum(v[i][0] for v in others), sum(v[i][1] for v in others)) for i in range(len(features))]
+        total = [(sum(v[i][0] for v in others), sum(v[i][1] for v in others)) for i in range(len(features) + 1)]
         return _fit(known.where(F.col("fold") != k), total, features, target, base, how)
 
     with ThreadPool(min(at_once, len(all_folds))) as pool:

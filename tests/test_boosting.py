@@ -101,3 +101,15 @@ def test_features_are_worked_out_once(spark, monkeypatch):
         made.value = 0
         make(t)
         assert made.value == rows
+
+
+def test_a_mark_that_is_never_set_is_left_out(rows):
+    """Features without a missing value in the rows fitted on are one column of the trees' input, others two; fills and predictions are as before."""
+    _, df = rows
+    model = boosting.fit(df, ["a", "gone", "holes"], "target", base="now", how=HOW)
+    assert model.marked == ("holes",) and model.trees.numFeatures == 3
+    every = boosting.fit(df.unionByName(df.limit(1).withColumn("a", F.lit(None).cast("double")).withColumn("target", F.lit(None).cast("double"))), ["a", "gone", "holes"], "target", base="now", how=HOW)
+    assert every.marked == ("holes",)  # rows without a target are not fitted on
+    x = boosting._assembled(df.limit(50), ["a", "holes"], [7.0, 8.0], None).select("a", "holes", "_x").collect()
+    assert all(list(r._x) == [7.0 if r.a is None else r.a, float(r.a is None), 8.0 if r.holes is None else r.holes, float(r.holes is None)] for r in x)
+    assert any(r.holes is None for r in x)
